@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import queries_text
+from shelfspark.llm import queries_tables, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-SQL = {**queries_text.SQL}
+QUERIES = {**queries_tables.QUERIES, **queries_text.QUERIES}
+SQL = {**queries_tables.SQL, **queries_text.SQL}
