@@ -21,6 +21,8 @@ def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner
     salt: ``rows`` get a random salt and the mapping is repeated for each, so that a hot key is spread
     over ``salts`` tasks. ``mapping`` should be materialised, as it is counted first.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"lookup keeps the rows' side: {how}")
     if at_most(mapping, limit):
         return rows.join(F.broadcast(mapping), on, how)
     salted = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
