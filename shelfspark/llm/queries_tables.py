@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.brands import map_names
+from shelfspark.llm.fusion import fuse_scores
+from shelfspark.llm.pairs import associated_pairs
 from shelfspark.operators.sizing import lookup
 from shelfspark.session import cut
 from shelfspark.sources.tables import table
@@ -27,5 +29,56 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(strange, mapping, ["value"]).select("src_field", "rec_key", "brand_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+SCORES = ["bm25_text", "vectors", "scores"]
+
+
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every request, ranked by all three scores."""
+    ranked = fuse_scores(table(spark, sf_dir, "search_response"), SCORES)
+    return ranked.select("request_id", "doc_id", "fused", "rk")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings labelled E for the same queries at least four times and six times as often as by chance."""
+    rows = table(spark, sf_dir, "jj").where(F.col("esci_label") == "E")
+    pairs = associated_pairs(rows, "query_id", "doc_id", min_together=4, min_lift=6)
+    return pairs.select(F.col("item_a").alias("doc_id_a"), F.col("item_b").alias("doc_id_b"))
+
+
+P3_SQL = """
+WITH f AS (
+  SELECT request_id, doc_id, ingested_at,
+    CASE WHEN isfinite(bm25_text) THEN bm25_text::DOUBLE END AS s1,
+    CASE WHEN isfinite(vectors) THEN vectors::DOUBLE END AS s2,
+    CASE WHEN isfinite(scores) THEN scores::DOUBLE END AS s3
+  FROM search_response WHERE request_id IS NOT NULL AND doc_id IS NOT NULL),
+r AS (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY request_id, doc_id
+    ORDER BY ingested_at DESC, s1 DESC NULLS LAST, s2 DESC NULLS LAST, s3 DESC NULLS LAST) = 1),
+l AS (
+  SELECT request_id, doc_id, 1 AS k, s1 AS x FROM r UNION ALL
+  SELECT request_id, doc_id, 2, s2 FROM r UNION ALL SELECT request_id, doc_id, 3, s3 FROM r),
+m AS (SELECT request_id, k, median(x) AS m, min(x) AS l FROM l WHERE x IS NOT NULL GROUP BY ALL),
+d AS (
+  SELECT m.request_id, m.k, m.m, m.l, CASE WHEN median(abs(x - m)) > 0 THEN median(abs(x - m)) * 1.4826 ELSE avg(abs(x - m)) * 1.2533 END AS d
+  FROM l JOIN m USING (request_id, k) WHERE x IS NOT NULL GROUP BY ALL),
+u AS (
+  SELECT l.request_id, l.doc_id,
+    ln(1 / (1 + exp(-greatest(-30, least(30, CASE WHEN d > 0 THEN (coalesce(x, l) - m) / d ELSE 0 END))))) AS u
+  FROM l JOIN d ON d.request_id = l.request_id AND d.k = l.k),
+g AS (SELECT request_id, doc_id, round(exp(avg(u)), 9) AS fused FROM u GROUP BY ALL),
+a AS (SELECT r.request_id, r.doc_id, coalesce(fused, 0) AS fused FROM r LEFT JOIN g USING (request_id, doc_id))
+SELECT request_id, doc_id, fused,
+  row_number() OVER (PARTITION BY request_id ORDER BY fused DESC, doc_id) AS rk FROM a
+"""
+P5_SQL = """
+WITH e AS (SELECT DISTINCT query_id, doc_id FROM jj WHERE esci_label = 'E' AND query_id IS NOT NULL AND doc_id IS NOT NULL),
+n AS (SELECT count(DISTINCT query_id) AS n FROM e),
+c AS (SELECT doc_id, count(*) AS c FROM e GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS ab FROM e a JOIN e b ON a.query_id = b.query_id AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 4)
+SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b CROSS JOIN n
+WHERE ab * n >= 6 * ca.c * cb.c
+"""
+
+QUERIES = {"p1_found": p1_found, "p3_ranking": p3_ranking, "p5_found": p5_found}
+SQL: dict[str, str] = {"p3_ranking": P3_SQL, "p5_found": P5_SQL}
