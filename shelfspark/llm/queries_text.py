@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfspark.llm.repetition import repetition
 from shelfspark.llm.textform import plain_forms
 from shelfspark.sources.tables import table
 
@@ -15,5 +17,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.unionByName(titles).select("src_field", "rec_key")
 
 
-QUERIES = {"p7_found": p7_found}
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of repeated text of every document."""
+    return repetition(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at least three tenths of whose text repeats what they said before."""
+    return p10_repetition(spark, sf_dir).where(F.col("repeated_share") >= 0.3).select("doc_id").distinct()
+
+
+QUERIES = {"p7_found": p7_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
 SQL: dict[str, str] = {}

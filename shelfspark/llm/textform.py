@@ -91,9 +91,12 @@ def _one_kana(text: str) -> str:
     return _kata_in_kanji.sub(lambda m: _KANJI_OF[m[0]], text)
 
 
+_doubtful = re.compile(f"[{IGNORABLE}{SPACES}{HYPHENS}Ͱ-ϿЀ-ԯ{KANA_OF_KANJI[0]}{KANA_OF_HIRAGANA[0]}{''.join(_KANJI_OF)}]")
+
+
 def plain(text: str) -> str:
     """The plain form, case kept. A text is in plain form when it equals this."""
-    if text.isascii():
+    if text.isascii() or not _doubtful.search(text) and unicodedata.is_normalized("NFKC", text):
         return text
     text = unicodedata.normalize("NFKC", _hyphens.sub("-", _spaces.sub(" ", _ignorable.sub("", text))))
     text = _hyphens.sub("-", _ignorable.sub("", text))
