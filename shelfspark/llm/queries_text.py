@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm.leaks import leaked_passages
 from shelfspark.llm.repetition import repetition
 from shelfspark.llm.textform import plain_forms
 from shelfspark.sources.tables import table
@@ -17,6 +18,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.unionByName(titles).select("src_field", "rec_key")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a passage of a held-out item, and the items that leaked."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of repeated text of every document."""
     return repetition(table(spark, sf_dir, "documents"))
@@ -27,5 +33,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_repetition(spark, sf_dir).where(F.col("repeated_share") >= 0.3).select("doc_id").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
+QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
 SQL: dict[str, str] = {}
