@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.leaks import leaked_passages
+from shelfspark.llm.packing import pack, token_counts
 from shelfspark.llm.repetition import repetition
 from shelfspark.llm.textform import plain_forms
 from shelfspark.sources.tables import table
@@ -18,6 +19,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.unionByName(titles).select("src_field", "rec_key")
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text (or piece of a text) for each kind of container."""
+    return pack(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage of a held-out item, and the items that leaked."""
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -33,5 +39,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_repetition(spark, sf_dir).where(F.col("repeated_share") >= 0.3).select("doc_id").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
+QUERIES = {"p7_found": p7_found, "p8_packing": p8_packing, "p9_found": p9_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
 SQL: dict[str, str] = {}
