@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.brands import map_names
 from shelfspark.llm.fusion import fuse_scores
+from shelfspark.llm.listings import group_pairs, product_groups
 from shelfspark.llm.pairs import associated_pairs
 from shelfspark.operators.sizing import lookup
 from shelfspark.session import cut
@@ -45,6 +46,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("doc_id_a"), F.col("item_b").alias("doc_id_b"))
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product group of every listing."""
+    return product_groups(table(spark, sf_dir, "catalog"), table(spark, sf_dir, "brand_list"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of listings of one locale that offer the same product."""
+    return group_pairs(cut(p6_groups(spark, sf_dir)))
+
+
 P3_SQL = """
 WITH f AS (
   SELECT request_id, doc_id, ingested_at,
@@ -80,5 +91,5 @@ SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb
 WHERE ab * n >= 6 * ca.c * cb.c
 """
 
-QUERIES = {"p1_found": p1_found, "p3_ranking": p3_ranking, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {"p3_ranking": P3_SQL, "p5_found": P5_SQL}
