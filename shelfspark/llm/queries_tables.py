@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.brands import map_names
 from shelfspark.llm.fusion import fuse_scores
 from shelfspark.llm.listings import group_pairs, product_groups
+from shelfspark.llm.overlap import split_overlap
 from shelfspark.llm.pairs import associated_pairs
 from shelfspark.operators.sizing import lookup
 from shelfspark.session import cut
@@ -30,6 +31,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(strange, mapping, ["value"]).select("src_field", "rec_key", "brand_id").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train query and one of another split that ask for the same thing."""
+    pairs, _ = split_overlap(table(spark, sf_dir, "judgments"))
+    return pairs.select(F.least("query_id_held", "query_id_train").alias("query_id_a"), F.greatest("query_id_held", "query_id_train").alias("query_id_b")).distinct()
+
+
+def p2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: queries, those asked again by the other side, and their mean shared coverage."""
+    _, queries = split_overlap(table(spark, sf_dir, "judgments"))
+    return queries.groupBy("split", "source").agg(F.countDistinct("query_id").alias("n_queries"), F.countDistinct(F.when(F.col("whole"), F.col("query_id"))).alias("n_shared"), F.round(F.avg("covered"), 6).alias("mean_covered"))
+
+
 SCORES = ["bm25_text", "vectors", "scores"]
 
 
@@ -91,5 +104,5 @@ SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb
 WHERE ab * n >= 6 * ca.c * cb.c
 """
 
-QUERIES = {"p1_found": p1_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlap": p2_overlap, "p3_ranking": p3_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {"p3_ranking": P3_SQL, "p5_found": P5_SQL}
