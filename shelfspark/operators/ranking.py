@@ -27,3 +27,17 @@ def distributed_positions(df: DataFrame, group: list[str], order: list[Column],
     starts = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
     return numbered.join(starts, [*group, "_part"]).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_at", "_before", "_part")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """The sum of ``value`` over all rows before each in a total order, without sorting the table in one task.
+
+    Works like ``distributed_positions``: a sum within each range of rows, plus the totals of the ranges
+    before, which are as many as there are partitions.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")

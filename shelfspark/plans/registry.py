@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.plans import search, units
+from shelfspark.plans import graphs, search, units
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **units.QUERIES}
-SQL: dict[str, str] = {**search.SQL, **units.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graphs.QUERIES, **units.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **graphs.SQL, **units.SQL}
