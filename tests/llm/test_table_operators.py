@@ -126,6 +126,7 @@ def test_stem(one, other, locale):
 def _queries():
     base = ["tikalo wall shelf 30 cm", "nozaha green kettle 500 ml", "zabotem almond flour", "tikalo steel bottle 2 l"]
     rows = [(100 + i * 10 + j, b, "us", "train", "s") for i, b in enumerate(base) for j in range(6)]
+    rows += [(500 + k, f"kettle almond flour {w}", "us", "train", "s") for k, w in enumerate("quartz velvet pumice walnut saffron juniper cobalt thistle".split())]
     held = [(1, "Wall  Shelves, TIKALO 30-cm", "us", "test", "s"), (2, "nozaha green ketle 500 ml", "us", "dev", None), (3, "nozaha red kettle 500 ml", "us", "test", "s"), (4, "tikalo wall shelf 40 cm", "us", "test", "s"), (5, "the zabotem almondflour", "us", "test", "s"), (6, "tikalo wall shelf 30 cm", "es", "test", "s")]
     odd = [(7, None, "us", "test", "s"), (8, "", "us", "test", "s"), (None, "zabotem almond flour", "us", "test", "s"), (9, "x" * 50_000, "us", "test", "s")]
     return rows + held + odd + held[:2]
