@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.plans import graphs, relational, search, streams, units
+from shelfspark.plans import graphs, learned, relational, search, streams, units
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graphs.QUERIES, **relational.QUERIES, **streams.QUERIES, **units.QUERIES}
-SQL: dict[str, str] = {**search.SQL, **graphs.SQL, **relational.SQL, **streams.SQL, **units.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graphs.QUERIES, **learned.QUERIES, **relational.QUERIES, **streams.QUERIES, **units.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **graphs.SQL, **learned.SQL, **relational.SQL, **streams.SQL, **units.SQL}
