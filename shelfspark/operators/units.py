@@ -54,6 +54,8 @@ UNITS = {
         "1000000": "kw kilowatt kilowatts kilovatio kilovatios キロワット",
     },
 }
+#: Digits a number may have; longer ones are no quantity (their amounts would not fit a long).
+DIGITS = 12
 SIDES = "largo ancho alto fondo profundidad length width height depth 幅 奥行き 奥行 高さ 縦 横 l w h d"
 
 _SIZE = {name.replace("|", " "): (q, Fraction(size)) for q, sizes in UNITS.items() for size, names in sizes.items() for name in names.split(" ")}
@@ -82,6 +84,8 @@ def _tidy(text: str) -> str:
 
 
 def _value(m: re.Match, comma_decimal: bool) -> Fraction | None:
+    if len(m[0]) > 40 or max(map(len, re.findall(r"\d+", m[0].replace(",", "") if not comma_decimal else m[0]))) > DIGITS:
+        return None
     if m["top"]:
         return (int(m["whole"] or 0) + Fraction(int(m["top"]), int(m["bottom"]))) if int(m["bottom"]) else None
     n = m["number"]
@@ -111,7 +115,7 @@ def quantities(text: str, comma_decimal: bool) -> tuple[tuple[Fraction, str | No
 
 
 def _round(x: Fraction) -> int:
-    return int((x + Fraction(1, 2)).__floor__())
+    return (x + Fraction(1, 2)).__floor__()
 
 
 def entry_amounts(entry: str, texts: tuple[str, ...], comma_decimal: bool, dimension: bool) -> list[tuple[int, str, int]]:
