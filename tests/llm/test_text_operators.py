@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfspark.llm import leaks, packing, repetition, textform
 
@@ -57,7 +58,7 @@ def test_plain_forms(spark):
 
 def test_fold_column(spark):
     rows = [("  ABC  d",), ("Ｅｆ​",), (None,), ("",)]
-    got = spark.createDataFrame(rows, "t string").select(textform.fold_column(__import__("pyspark.sql.functions", fromlist=["x"]).col("t"))).collect()
+    got = spark.createDataFrame(rows, "t string").select(textform.fold_column(F.col("t"))).collect()
     assert [r[0] for r in got] == ["abc d", "ef", None, ""]
 
 
