@@ -230,6 +230,12 @@ SQL = {
       h AS (SELECT query_id, doc_id, round(sum(w * qtf), 6) AS s, count(*) AS n FROM p JOIN qf ON q = query_id JOIN ix ON ix.g = qf.g AND ix.term = qf.term AND doc = doc_id GROUP BY ALL)
       SELECT p.query_id, p.doc_id, coalesce(s, 0) AS bm25_title, round(coalesce(s / round(mx, 6), 0), 6) AS bm25_share, round(coalesce(coalesce(n, 0) / known, 0), 6) AS coverage, coalesce(coalesce(n, 0) = known, false) AS all_terms
       FROM p LEFT JOIN h USING (query_id, doc_id) LEFT JOIN mx ON mx.q = p.query_id""",
+    "spelling_corrections": f"""WITH {_I}, v AS (SELECT term, sum(df)::BIGINT AS df FROM df GROUP BY 1),
+      s AS (SELECT term, coalesce(df, 0) AS n0 FROM (SELECT DISTINCT term FROM qf) LEFT JOIN v USING (term) WHERE regexp_matches(term, '^[a-zß-˿]+$') AND length(term) >= 4),
+      d AS (SELECT *, CASE WHEN n0 < 3 THEN 20 * greatest(n0, 1) WHEN n0 <= 50 THEN 200 * n0 END AS need FROM s),
+      k AS (SELECT term AS suggestion, df AS n FROM v WHERE df >= 5 AND length(term) >= 3 AND regexp_matches(term, '^[a-zß-˿]+$'))
+      SELECT term, n0, suggestion, n FROM d JOIN k ON suggestion <> term AND n >= need AND abs(length(term) - length(suggestion)) <= 1 AND damerau_levenshtein(translate(term, 'áéíóúñüçàèò', 'AEIOUNXCBDF'), translate(suggestion, 'áéíóúñüçàèò', 'AEIOUNXCBDF')) <= 1
+      QUALIFY row_number() OVER (PARTITION BY term ORDER BY n DESC, suggestion) = 1""",
     "knn_exact": """SELECT a.vec_id AS query, b.vec_id AS vec, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
       row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rk
       FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rk <= 10""",
