@@ -15,6 +15,8 @@ K1, B = 1.2, 0.75
 RRF = 60
 #: Stated queries that meet the vectors in one pass.
 QUERY_BLOCK = 4096
+#: Share of the exact neighbours a cell search has to find, and the vectors on which that is measured.
+RECALL, RECALL_SAMPLE = 0.9, 256
 
 
 def postings(docs: DataFrame, doc: str, group: str, terms: Column) -> DataFrame:
@@ -119,15 +121,42 @@ def ivf_cells(vectors: DataFrame, cells: int, sample: int = 20_000, seed: int =
     return KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(picked)
 
 
+def _by_nearness(model) -> Column:
+    """The cells in order of the distance of their centre from ``q``."""
+    centres = [c.tolist() for c in model.clusterCenters()]
+    far = F.transform(F.lit(centres), lambda c: F.aggregate(F.zip_with(F.col("q"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return F.transform(F.array_sort(F.transform(far, lambda d, i: F.struct(d.alias("d"), i.alias("cell")))), lambda x: x["cell"])
+
+
+def ivf_probes(model, vectors: DataFrame, k: int, recall: float = RECALL, sample: int = RECALL_SAMPLE) -> int:
+    """The fewest cells that find ``recall`` of the exact ``k`` neighbours, measured on ``sample`` of the vectors.
+
+    A neighbour is found if its cell is probed. The mean over the sample has to lie three standard errors above
+    ``recall``, so that other queries reach it too; where no fewer cells do, all are probed.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    cells = len(model.clusterCenters())
+    rows = vectors.where(F.col("v").isNotNull())
+    asked = rows.orderBy(F.xxhash64("vec", F.lit(1)), "vec").limit(sample).select(F.col("vec").alias("query"), F.col("v").alias("q"), F.lit(None).cast("long").alias("group"))
+    placed = model.transform(rows.select("vec", array_to_vector("v").alias("features"))).select("vec", "cell")
+    near = knn_exact(asked, rows, k).select("query", "vec").join(placed, "vec").join(asked.select("query", _by_nearness(model).alias("cells")), "query")
+    ranks: dict[int, list[int]] = {}
+    for r in near.select("query", F.array_position("cells", F.col("cell")).alias("rank")).collect():
+        ranks.setdefault(r["query"], []).append(r["rank"])
+    for probes in range(1, cells):
+        found = np.array([np.mean(np.array(x) <= probes) for x in ranks.values()])
+        if len(found) > 1 and found.mean() - 3 * found.std(ddof=1) / len(found) ** 0.5 >= recall:
+            return probes
+    return cells
+
+
 def ivf_search(model, queries: DataFrame, vectors: DataFrame, k: int, probes: int) -> DataFrame:
     """Approximate nearest vectors: every vector is indexed by its cell, a query scores those of its ``probes`` nearest cells."""
     from pyspark.ml.functions import array_to_vector
 
-    centres = [c.tolist() for c in model.clusterCenters()]
     placed = model.transform(vectors.select("vec", "v", array_to_vector("v").alias("features"))).select("vec", "v", "cell")
-    far = F.transform(F.lit(centres), lambda c: F.aggregate(F.zip_with(F.col("q"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    nearest = F.slice(F.array_sort(F.transform(far, lambda d, i: F.struct(d.alias("d"), i.alias("cell")))), 1, probes)
-    asked = queries.select("query", "q", F.explode(nearest).alias("n")).select("query", "q", F.col("n.cell").alias("cell"))
+    asked = queries.select("query", "q", F.explode(F.slice(_by_nearness(model), 1, probes)).alias("cell"))
     scored = asked.join(placed, "cell").where(F.col("query") != F.col("vec")).select("query", "vec", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     return top_k(scored, ["query"], [F.desc("score"), F.asc("vec")], k)
 

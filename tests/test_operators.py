@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import ranking, retrieval, sizing
+from shelfspark.plans import search
 
 
 def test_distributed_positions(spark):
@@ -41,3 +43,9 @@ def test_knn_blocks_and_recall(spark):
     found = retrieval.ivf_search(retrieval.ivf_cells(vectors, 6), queries, vectors.where("v IS NOT NULL"), 5, probes=5).collect()
     exact = {(q, x) for (q, _), x in one.items()}
     assert len(exact & {(r.query, r.vec) for r in found}) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_knn_ivf_recall(spark, size):
+    exact, found = ({(r.query, r.vec) for r in q(spark, f"/root/testdata/{size}").collect()} for q in (search.knn_exact, search.knn_ivf))
+    assert len(exact & found) >= 0.9 * len(exact)
