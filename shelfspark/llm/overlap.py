@@ -193,12 +193,13 @@ def shared_spans(records: DataFrame) -> DataFrame:
     ``records``: ``rec`` (unique), ``locale``, ``words``, ``train`` and ``held`` (whether the text stands on
     either side). The suffixes of the concatenated texts, one for each word, are sorted within the
     buckets of their first word; among sorted suffixes the longest common prefix with the other side is had
-    with the nearest suffix of that side before or behind. Result: ``rec``, ``start``, ``length`` (words),
+    with the nearest suffix of that side before or behind. Among equal suffixes whole texts stand first, so that
+    no tail of a longer text comes between two equal ones. Result: ``rec``, ``start``, ``length`` (words),
     ``whole`` (both texts agree from first to last word).
     """
     suffixes = records.select("rec", "locale", "train", "held", F.size("words").alias("n"), F.posexplode("words").alias("start", "first"), F.col("words").alias("w"))
     suffixes = suffixes.select("rec", "locale", "train", "held", "n", "start", "first", F.slice("w", F.col("start") + 1, F.col("n")).alias("suffix"))
-    order = Window.partitionBy("locale", "first").orderBy("suffix", "rec")
+    order = Window.partitionBy("locale", "first").orderBy("suffix", "start", "rec")
     one = F.struct("suffix", "start")
     sides = []
     for mine, other in (("held", "train"), ("train", "held")):
