@@ -16,7 +16,7 @@ from shelfspark.session import cut
 
 #: A rare word is a slip for a word this many times as frequent, one or two slips away.
 RATIO_ONE, RATIO_TWO = 5, 12
-#: Slips a text may have in all.
+#: Slips a text may have in all; one with more is taken as it stands.
 SLIPS = 2
 #: Letters a word must have to be corrected for one slip and for two.
 LEAST_ONE, LEAST_TWO = 4, 7
@@ -156,6 +156,9 @@ def _corrections(words: DataFrame) -> DataFrame:
 def canonical(texts: DataFrame) -> DataFrame:
     """``text_id``, ``locale``, ``words`` (sorted stems without function words) and ``slips`` of each text.
 
+    A text of which more than ``SLIPS`` were corrected keeps its words as they are, as rare but right names may be
+    near frequent words; its ``slips`` are 0. A text without words isn't in the result.
+
     ``texts``: ``text_id`` unique, ``locale``, ``text``. Frequencies are counted over all texts given; a
     word that several locales have (a name) counts in all of them together.
     """
@@ -173,7 +176,11 @@ def canonical(texts: DataFrame) -> DataFrame:
     words = cut(words.join(names.select("word"), "word", "left_anti").unionByName(names.select("word", "n").join(F.broadcast(places)).select("locale", "word", "n")))
     fixed = cut(_corrections(words))
     joined = lookup(each, fixed, ["locale", "word"], "left").withColumn("parts", F.coalesce("parts", F.array("word")))
-    whole = joined.groupBy("text_id", "locale").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"])).alias("parts"), F.sum(F.coalesce("slips", F.lit(0))).cast("int").alias("slips"))
+    joined = joined.withColumn("asis", F.when(F.coalesce("slips", F.lit(0)) > 0, F.array("word")).otherwise(F.col("parts")))
+    gathered = joined.groupBy("text_id", "locale").agg(F.array_sort(F.collect_list(F.struct("at", "parts", "asis"))).alias("x"), F.sum(F.coalesce("slips", F.lit(0))).cast("int").alias("slips"))
+    right = F.col("slips") <= SLIPS
+    parts = F.flatten(F.when(right, F.transform("x", lambda x: x["parts"])).otherwise(F.transform("x", lambda x: x["asis"])))
+    whole = gathered.select("text_id", "locale", parts.alias("parts"), F.when(right, F.col("slips")).otherwise(0).alias("slips"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -238,12 +245,12 @@ def split_overlap(rows: DataFrame, train: str = "train") -> tuple[DataFrame, Dat
 
     First: ``query_id_held``, ``query_id_train``, each pair of a query of another split and one of ``train``
     that ask for the same thing. Second: every query with ``split``, ``source``, ``covered`` (largest share of a
-    text of it that stands in the other side) and ``whole``. Null and empty texts share nothing, repeated
-    rows count once, a query with several texts has those of all of them.
+    text of it that stands in the other side) and ``whole``. Null and empty texts share nothing but count as
+    queries, repeated rows count once, a query with several texts has those of all of them.
     """
-    asked = cut(rows.where(F.col("query").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "query", "locale", "split", "source").withColumn("text_id", F.xxhash64("locale", "query")).distinct())
-    texts = asked.select("text_id", "locale", F.col("query").alias("text")).dropDuplicates(["text_id"])
-    known = cut(canonical(texts).where((F.col("slips") <= SLIPS) & (F.size("words") > 0)).withColumn("key", F.xxhash64("locale", "words")))
+    asked = cut(rows.where(F.col("query_id").isNotNull()).select("query_id", "query", "locale", "split", "source").withColumn("text_id", F.xxhash64("locale", "query")).distinct())
+    texts = asked.where(F.col("query").isNotNull()).select("text_id", "locale", F.col("query").alias("text")).dropDuplicates(["text_id"])
+    known = cut(canonical(texts).where(F.size("words") > 0).withColumn("key", F.xxhash64("locale", "words")))
     of = asked.select("query_id", "text_id", "source", "split", F.when(F.col("split") == train, "train").otherwise("held").alias("side"))
     placed = cut(of.join(known.select("text_id", "locale", "words", "key"), "text_id"))
     records = cut(placed.groupBy("locale", "words", "side").agg(F.first("key").alias("key")).select(F.xxhash64("locale", "words", "side").alias("rec"), "locale", "words", "side", (F.col("side") == "train").alias("train"), (F.col("side") == "held").alias("held")))
@@ -251,5 +258,8 @@ def split_overlap(rows: DataFrame, train: str = "train") -> tuple[DataFrame, Dat
     with_rec = placed.withColumn("rec", F.xxhash64("locale", "words", "side")).join(found, "rec")
     same = with_rec.where("whole").select("query_id", "side", "locale", "words").distinct()
     pairs = same.where("side = 'held'").select(F.col("query_id").alias("query_id_held"), "locale", "words").join(same.where("side = 'train'").select(F.col("query_id").alias("query_id_train"), "locale", "words"), ["locale", "words"])
-    per_query = with_rec.groupBy("query_id", "split", "source").agg(F.max("covered").alias("covered"), F.max("whole").alias("whole"))
+    shares = with_rec.groupBy("query_id", "split", "source").agg(F.max("covered").alias("covered"), F.max("whole").alias("whole"))
+    every, of_query = asked.select("query_id", "split", "source").distinct().alias("q"), shares.alias("s")
+    matches = [F.col(f"q.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("query_id", "split", "source")]
+    per_query = every.join(of_query, matches, "left").select("q.query_id", "q.split", "q.source", F.coalesce("covered", F.lit(0.0)).alias("covered"), F.coalesce("whole", F.lit(False)).alias("whole"))
     return pairs.select("query_id_held", "query_id_train").distinct(), per_query

@@ -21,3 +21,14 @@ def test_whole_among_tails_of_both_sides(spark):
     own = [f"{w} red lamp" for w in ("amber", "birch", "cedar")]
     pairs, _ = overlap.split_overlap(_asked(spark, ["red lamp", *own], ["red lamp", *[f"{w} red lamp" for w in ("acorn", "badge", "coral")]]))
     assert [tuple(r) for r in pairs.collect()] == [(0, 4)]
+
+
+def test_texts_of_many_corrections_and_none(spark):
+    frequent = ["lantern", "kettle", "blanket"]
+    held = ["lamtern ketle blankett", "!!", "", None]
+    train = ["lamtern ketle blankett", *[f"{w} {i}" for w in frequent for i in range(100, 110)]]
+    pairs, queries = overlap.split_overlap(_asked(spark, held, train))
+    assert [tuple(r) for r in pairs.collect()] == [(0, len(held))]
+    got = {r.query_id: (r.covered, r.whole) for r in queries.collect()}
+    assert len(got) == len(held) + len(train) and got[0] == got[len(held)] == (1.0, True)
+    assert got[1] == got[2] == got[3] == (0.0, False)
