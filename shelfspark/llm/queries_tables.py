@@ -31,15 +31,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(strange, mapping, ["value"]).select("src_field", "rec_key", "brand_id").distinct()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("query_id_held", "query_id_train").alias("query_id_a"), F.greatest("query_id_held", "query_id_train").alias("query_id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train query and one of another split that ask for the same thing."""
-    pairs, _ = split_overlap(table(spark, sf_dir, "judgments"))
-    return pairs.select(F.least("query_id_held", "query_id_train").alias("query_id_a"), F.greatest("query_id_held", "query_id_train").alias("query_id_b")).distinct()
+    return _ordered(split_overlap(table(spark, sf_dir, "judgments")).query_pairs())
+
+
+def p2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of those, the pairs that have a text letter for letter alike."""
+    return _ordered(split_overlap(table(spark, sf_dir, "judgments")).exact_copies())
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each query's texts and how many queries of the other side ask for the same."""
+    return split_overlap(table(spark, sf_dir, "judgments")).classes()
 
 
 def p2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source: queries, those asked again by the other side, and their mean shared coverage."""
-    _, queries = split_overlap(table(spark, sf_dir, "judgments"))
+    queries = split_overlap(table(spark, sf_dir, "judgments")).per_query()
     return queries.groupBy("split", "source").agg(F.countDistinct("query_id").alias("n_queries"), F.countDistinct(F.when(F.col("whole"), F.col("query_id"))).alias("n_shared"), F.round(F.avg("covered"), 6).alias("mean_covered"))
 
 
@@ -95,6 +108,11 @@ a AS (SELECT r.request_id, r.doc_id, coalesce(fused, 0) AS fused FROM r LEFT JOI
 SELECT request_id, doc_id, fused,
   row_number() OVER (PARTITION BY request_id ORDER BY fused DESC, doc_id) AS rk FROM a
 """
+P2_EXACT_SQL = r"""
+SELECT DISTINCT least(a.query_id, b.query_id) AS query_id_a, greatest(a.query_id, b.query_id) AS query_id_b
+FROM (SELECT * FROM judgments WHERE split IS DISTINCT FROM 'train') a JOIN judgments b ON b.split = 'train' AND a.locale = b.locale AND a.query = b.query
+WHERE regexp_matches(a.query, '[\p{L}\p{N}]')
+"""
 P5_SQL = """
 WITH e AS (SELECT DISTINCT query_id, doc_id FROM jj WHERE esci_label = 'E' AND query_id IS NOT NULL AND doc_id IS NOT NULL),
 n AS (SELECT count(DISTINCT query_id) AS n FROM e),
@@ -104,5 +122,5 @@ SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb
 WHERE ab * n >= 6 * ca.c * cb.c
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlap": p2_overlap, "p3_ranking": p3_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
-SQL: dict[str, str] = {"p3_ranking": P3_SQL, "p5_found": P5_SQL}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_exact": p2_exact, "p2_classes": p2_classes, "p2_overlap": p2_overlap, "p3_ranking": p3_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
+SQL: dict[str, str] = {"p2_exact": P2_EXACT_SQL, "p3_ranking": P3_SQL, "p5_found": P5_SQL}
