@@ -6,8 +6,10 @@ import base64
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import basename
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +20,30 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items a task packs at a time, and the fill below which a container is opened again for the next round.
 GROUP, KEEP = 20_000, 0.995
-#: Kinds of containers in one run; every item is packed once per kind.
-MOST_KINDS = 100
+#: Kinds of containers packed in one pass; further kinds are packed in further passes over the counts.
+KINDS_A_PASS = 100
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def load_encoding(path: str):
+    """The byte-level encoding of a vocabulary file (one line per token: its bytes in base 64, its rank)."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``item`` and ``n_tokens`` of every text under a public byte-level tokenizer; null and empty texts have 0."""
+    """``item`` and ``n_tokens`` of every text under a public byte-level tokenizer; null and empty texts have 0.
+
+    The vocabulary file ``tokenizer`` need only be on the driver: Spark ships it to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = basename(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = load_encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"item": b[key], "n_tokens": [len(encode(t)) if t else 0 for t in b[text]]})
 
@@ -97,22 +105,27 @@ def _packer(round_: int):
 def pack(items: DataFrame, capacities: DataFrame, group: int = GROUP, keep: float = KEEP) -> DataFrame:
     """Each item's container: ``container_kind``, ``container`` (string), ``item``, ``piece``, ``n_tokens``.
 
-    ``items``: ``item``, ``n_tokens``; ``capacities``: ``container_kind``, ``capacity_tokens`` (few rows).
+    ``items``: ``item``, ``n_tokens``, computed once; ``capacities``: ``container_kind``, ``capacity_tokens``, of
+    which ``KINDS_A_PASS`` are packed at a time.
     Only items larger than the capacity are cut, into full containers and one rest (pieces from 0). Items
     without tokens take no space and stand in no container. Repeated items are packed as often as they
     come. Items are hashed into groups of about ``group``, packed by minimum bin slack; containers filled
     below ``keep`` are opened again and their items packed in ever fewer groups, as long as that halves
     what is left. Containers are named by round, group and number.
     """
+    kinds = [tuple(r) for r in capacities.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long")).distinct().orderBy("container_kind", "capacity_tokens").collect()]
+    counted = cut(items.where(F.col("n_tokens") > 0).select("item", "n_tokens"))
+    out = items.select(F.lit("").alias("container_kind"), F.lit("").alias("container"), "item", F.lit(0).cast("long").alias("piece"), "n_tokens").limit(0)
+    for at in range(0, len(kinds), KINDS_A_PASS):
+        out = out.unionByName(_pack_kinds(counted, kinds[at : at + KINDS_A_PASS], group, keep))
+    return out
+
+
+def _pack_kinds(items: DataFrame, kinds: list[tuple[str, int]], group: int, keep: float) -> DataFrame:
     kind = items.schema["item"].dataType.simpleString()
     schema = f"container_kind string, c long, container string, item {kind}, piece long, n long, filled double"
-    kinds = [tuple(r) for r in capacities.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long")).distinct().limit(MOST_KINDS + 1).collect()]
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    if not kinds:
-        return items.select(F.lit("").alias("container_kind"), F.lit("").alias("container"), "item", F.lit(0).cast("long").alias("piece"), "n_tokens").limit(0)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("c")) for k, c in sorted(kinds)]))
-    found = items.where(F.col("n_tokens") > 0).select("item", "n_tokens", each.alias("k")).select("k.*", "item", "n_tokens")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("c")) for k, c in kinds]))
+    found = items.select("item", "n_tokens", each.alias("k")).select("k.*", "item", "n_tokens")
     n_pieces = F.ceil(F.col("n_tokens") / F.col("c"))
     pieces = found.select("container_kind", "c", "item", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)).alias("piece"))
     pieces = pieces.withColumn("n", F.when((F.col("piece") + 1) * F.col("c") <= F.col("n_tokens"), F.col("c")).otherwise(F.col("n_tokens") % F.col("c"))).drop("n_tokens")

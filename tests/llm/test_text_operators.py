@@ -23,6 +23,8 @@ WORDS = "lamp bottle river stone copper meadow window garden silver engine pillo
         ("hy‐phen−minus", "hy-phen-minus"),
         ("wаll shеlf", "wall shelf"),
         ("bοttle", "bottle"),
+        ("bօttle", "bottle"),
+        ("ᏟᎪᎡPET", "CARPET"),
         ("ﬂour", "flour"),
         ("登山口ープ", "登山ロープ"),
         ("モ二ター", "モニター"),
@@ -38,7 +40,7 @@ def test_plain_texts_stay(text):
     assert textform.plain(text) == text
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=5000, deadline=None)
 @given(st.text(max_size=60))
 def test_plain_is_idempotent(text):
     once = textform.plain(text)
@@ -173,9 +175,16 @@ def test_pack(spark):
             assert sum(n for _, n in rows) / c / len(loads) > (0.97 if group > 60 else 0.8)
     assert packing.pack(items.limit(0), caps).count() == 0
     assert packing.pack(items, caps.limit(0)).count() == 0
+    assert {tuple(r) for r in packing.pack(items, caps, group=60).collect()} == {tuple(r) for r in got}
+    many = spark.createDataFrame([(f"k{i}", 100) for i in range(packing.KINDS_A_PASS + 1)], "container_kind string, capacity_tokens long")
+    assert packing.pack(items.where("item >= 1000"), many).select("container_kind").distinct().count() == packing.KINDS_A_PASS + 1
 
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x" * 100_000), (5, "日本語")], "doc_id long, text string")
     got = {r.item: r.n_tokens for r in packing.token_counts(df).collect()}
-    assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000 and got[5] >= 1
+    encode = packing.load_encoding(packing.TOKENIZER)
+    for r in df.collect():
+        ids = encode.encode_ordinary(r.text or "")
+        assert got[r.doc_id] == len(ids) and encode.decode(ids) == (r.text or "")
+    assert got[2] == got[3] == 0 and got[4] > 1000
