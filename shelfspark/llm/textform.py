@@ -23,12 +23,15 @@ SPACES = r"   -     　"
 HYPHENS = r"‐-―⁃−⸺⸻﹘﹣－"
 CYRILLIC = ("АВЕІЈКМНОРСТУХЅаеорсухіјѕһԁԛԝ", "ABEIJKMHOPCTYXSaeopcyxijshdqw")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυιϳ", "ABEZHIKMNOPTYXovuij")
+ARMENIAN = ("ՕՍԼհոսցզօյ", "OULhnugqoj")
+CHEROKEE = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏢᏙᏚᏞᏟᏦᏴ", "DRTAJEWMHGZPVSLCKB")
 KANA_OF_KANJI = ("八卜口力夕二工才千三又一", "ハトロカタニエオチミヌー")
 KANA_OF_HIRAGANA = ("へべぺ", "ヘベペ")
 
-_LATIN_OF = dict(zip(*CYRILLIC)) | dict(zip(*GREEK))
-_CYRILLIC_OF = {b: a for a, b in zip(*CYRILLIC)}
-_GREEK_OF = {b: a for a, b in zip(*GREEK)}
+_LOOKS = {"cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "cherokee": CHEROKEE}
+_BLOCKS = {"greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ԯ", "armenian": "԰-֏", "cherokee": "Ꭰ-Ᏽ"}
+_LATIN_OF = {a: b for pair in _LOOKS.values() for a, b in zip(*pair)}
+_FROM_LATIN = {script: {b: a for a, b in zip(*pair)} for script, pair in _LOOKS.items()}
 _KANA_OF = dict(zip(*KANA_OF_KANJI))
 _KANJI_OF = {b: a for a, b in zip(*KANA_OF_KANJI) if b != "ー"}
 _KATAKANA = r"゠-ヿㇰ-ㇿ"
@@ -37,7 +40,9 @@ _KANJI = r"㐀-䶿一-鿿々"
 _ignorable = re.compile(f"[{IGNORABLE}]")
 _spaces = re.compile(f"[{SPACES}]")
 _hyphens = re.compile(f"[{HYPHENS}]")
-_foreign = re.compile(r"[Ͱ-ϿЀ-ԯ]")
+_FOREIGN = "".join(_BLOCKS.values())
+_foreign = re.compile(f"[{_FOREIGN}]")
+_script_of = {script: re.compile(f"[{block}]") for script, block in _BLOCKS.items()}
 _word = re.compile(r"[^\W\d_]+")
 _kana_kanji = re.compile(f"[{KANA_OF_KANJI[0]}]")
 _hira_in_kata = re.compile(f"(?<=[{_KATAKANA}])[{KANA_OF_HIRAGANA[0]}]|[{KANA_OF_HIRAGANA[0]}](?=[{_KATAKANA}])")
@@ -47,28 +52,24 @@ _is_kanji = re.compile(f"[{_KANJI}]")
 
 
 def _script(c: str) -> str:
-    o = ord(c)
-    if 0x370 <= o < 0x400:
-        return "greek"
-    if 0x400 <= o < 0x530:
-        return "cyrillic"
-    return "latin" if c.isascii() or o < 0x250 or 0x1E00 <= o < 0x1F00 else "other"
+    if _foreign.match(c):
+        return next(script for script, block in _script_of.items() if block.match(c))
+    return "latin" if c.isascii() or ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 else "other"
 
 
 def _one_script(text: str) -> str:
-    """Look-alike letters of Greek and Cyrillic in the script their word is written in."""
+    """Look-alike letters of other alphabets in the script their word is written in."""
     foreign_text = any(c not in _LATIN_OF for c in _foreign.findall(text))
 
     def word(m: re.Match) -> str:
         w = m[0]
-        kinds = {_script(c) for c in w}
-        if not kinds & {"greek", "cyrillic"}:
+        if not _foreign.search(w):
             return w
-        own = {_script(c) for c in w if _script(c) in ("greek", "cyrillic") and c not in _LATIN_OF}
+        own = {_script(c) for c in w if _foreign.match(c) and c not in _LATIN_OF}
         if len(own) == 1:  # the word is of that script; the look-alikes in it are Latin letters
-            back = _CYRILLIC_OF if own == {"cyrillic"} else _GREEK_OF
+            back = _FROM_LATIN[own.pop()]
             return "".join(back.get(c, c) for c in w)
-        if own or (foreign_text and "latin" not in kinds):
+        if own or (foreign_text and "latin" not in {_script(c) for c in w}):
             return w
         return "".join(_LATIN_OF.get(c, c) for c in w)
 
@@ -91,7 +92,7 @@ def _one_kana(text: str) -> str:
     return _kata_in_kanji.sub(lambda m: _KANJI_OF[m[0]], text)
 
 
-_doubtful = re.compile(f"[{IGNORABLE}{SPACES}{HYPHENS}Ͱ-ϿЀ-ԯ{KANA_OF_KANJI[0]}{KANA_OF_HIRAGANA[0]}{''.join(_KANJI_OF)}]")
+_doubtful = re.compile(f"[{IGNORABLE}{SPACES}{HYPHENS}{_FOREIGN}{KANA_OF_KANJI[0]}{KANA_OF_HIRAGANA[0]}{''.join(_KANJI_OF)}]")
 
 
 def plain(text: str) -> str:
@@ -109,10 +110,17 @@ def plain(text: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def folded(text: str) -> str:
-    """The plain form in full case folding, white space mapped to single spaces: for comparisons."""
+    """The plain form in full case folding, white space mapped to single spaces: for comparisons.
+
+    Folding a letter can make another one plain form would change, so both are repeated until nothing changes.
+    """
     if text.isascii():
         return " ".join(text.lower().split())
-    return " ".join(unicodedata.normalize("NFKC", plain(text).casefold()).split())
+    seen = set()
+    while text not in seen:
+        seen.add(text)
+        text = " ".join(unicodedata.normalize("NFKC", plain(text).casefold()).split())
+    return text
 
 
 def _by_distinct(values: pd.Series, f) -> pd.Series:
