@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.ranking import top_k
+from shelfspark.session import cut
 
 
 def product_edges(judged: DataFrame, most_exact: int = 25) -> DataFrame:
@@ -45,3 +46,19 @@ def related_queries(judged: DataFrame, most_queries: int = 50, k: int = 20) -> D
     sized = pairs.join(n.withColumnRenamed("n", "n1"), "query_id").join(n.select(F.col("query_id").alias("related_query_id"), F.col("n").alias("n2")), "related_query_id")
     scored = sized.withColumn("jaccard", F.round(F.col("n_shared") / (F.col("n1") + F.col("n2") - F.col("n_shared")), 6))
     return top_k(scored.drop("n1", "n2"), ["query_id"], [F.desc("jaccard"), F.asc("related_query_id")], k)
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node``, ``component`` (its least node) of every node of an edge list.
+
+    Labels go to the neighbours and to the labels' own labels, by turns, until none changes; nothing is collected.
+    """
+    both = cut(edges.select(F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")))).alias("e")).select("e.*").where("node IS NOT NULL AND other IS NOT NULL").distinct())
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    while True:
+        jumped = labels.join(labels.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component"), F.col("component").alias("was"))
+        heard = both.join(jumped.select(F.col("node").alias("other"), F.col("component").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
+        new = cut(jumped.join(heard, "node").select("node", F.least("component", "heard").alias("component"), "was"))
+        if not new.where("component <> was").limit(1).count():
+            return new.select("node", "component")
+        labels = new.drop("was")

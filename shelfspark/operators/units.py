@@ -75,6 +75,8 @@ _in_a_row = re.compile(r"\s*(?:,|and|y|と)?\s*")
 
 @lru_cache(maxsize=1 << 16)
 def _tidy(text: str) -> str:
+    if text.isascii():
+        return _in_one.sub(" ", text.lower())
     out = "".join(f" {unicodedata.normalize('NFKC', c).replace('⁄', '/')}" if unicodedata.decomposition(c).startswith("<fraction>") else c for c in text)
     out = unicodedata.normalize("NFKC", out).replace("⁄", "/").replace("‐", "-").replace("‑", "-").replace("−", "-").casefold()
     out = re.sub("[­​-‏⁠﻿]", "", out)
@@ -83,6 +85,9 @@ def _tidy(text: str) -> str:
     return _in_one.sub(" ", out)
 
 
+_fraction = lru_cache(maxsize=1 << 16)(Fraction)
+
+
 def _value(m: re.Match, comma_decimal: bool) -> Fraction | None:
     if len(m[0]) > 40 or max(map(len, re.findall(r"\d+", m[0].replace(",", "") if not comma_decimal else m[0]))) > DIGITS:
         return None
@@ -93,7 +98,7 @@ def _value(m: re.Match, comma_decimal: bool) -> Fraction | None:
         n = n.replace(".", "").replace(",", ".") if "," in n and "." in n else n.replace(",", ".")
     else:
         n = n.replace(",", "")
-    return Fraction(n)
+    return _fraction(n)
 
 
 @lru_cache(maxsize=1 << 16)
