@@ -37,6 +37,8 @@ def _without_accents(text: str) -> str:
 
 
 def _compact(text: str) -> str:
+    if text.isascii():
+        return text if text.isalnum() else "".join(filter(str.isalnum, text))
     return "".join(c for c in _without_accents(text) if c.isalnum() or c == "ー")
 
 

@@ -1,26 +1,33 @@
-"""Listings of one product brought together (problem 6)."""
+"""Listings of one product brought together (problem 6): token blocks, a weighted graph, pruning, rules, clusters."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from fractions import Fraction
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.brands import _compact, map_names, name_cores
 from shelfspark.llm.pairs import CHUNK, _chunked, _ordinary
 from shelfspark.llm.textform import folded
+from shelfspark.operators.graph import components
 from shelfspark.operators.sizing import lookup
 from shelfspark.operators.units import UNITS, quantities
 from shelfspark.session import cut
 
 #: Sizes this close are one size, rounded or converted differently.
 SIZE_ALIKE = 0.02
-#: Listings an unlisted brand must have before titles are searched for it.
-BRAND_LISTINGS = 3
+#: Rare tokens of a listing that are paired to blocks, and the share of these blocks, the rarest first, it stays in.
+RARE_TOKENS, KEPT_BLOCKS = 4, 2 / 3
+#: Least share of the listings of a series word and number that one brand has; those of "new 2024" have all brands.
+ONE_BRAND = 0.1
+#: Share of their blocks two listings must have in common if not both name a model number.
+WITHOUT_MODEL = 0.6
+#: Edges of a component that one task joins; a larger component is joined in rounds.
+LARGE = 1_000_000
 
 # How packs are written, and words typed for a brand where there is none.
 PACK = r"pack of (\d+)|(\d+)[ -]?pack\b|paquete de (\d+)|pack de (\d+)|(\d+)個(?:セット|入り?|パック)"
@@ -29,22 +36,27 @@ NO_BRAND = "na none no nobrand unbranded generic genérico generico various vari
 _pack = re.compile(PACK)
 _no_brand = {_compact(w) for w in NO_BRAND.split()}
 _model = re.compile(r"([^\W\d_]{3,})[ -]?(\d{3,})(?![\d.,]*\d)")
+_word = re.compile(r"[^\W\d_]+")
+_number = re.compile(r"(?<![\d.,])\d{3,}(?![\d.,]*\d)")
 _latin = re.compile(r"[a-zà-ɏ]+")
-_sizes = {q: [Fraction(s) for s in sizes] for q, sizes in UNITS.items()}
+_dims = re.compile(r"\d\s*[\"a-z]*\s*[x×*]\s*\d")
+_side_before = re.compile(r"[x×*]\s*[a-z]?$")
+_side_behind = re.compile(r"\s*[^\d\s]*\s*[x×*]\s*[a-z]?\d")
+_sizes = {q: [float(s) for s in sizes] for q, sizes in UNITS.items()}
+_letters = re.compile("[^\\W\\d_]")
 
 
 def _features(b: pd.DataFrame) -> pd.DataFrame:
     """What a batch of listings says about its products."""
-    out: dict[str, list] = {c: [] for c in ("models", "size_of", "size", "bare", "pack", "colour", "words", "grams")}
-    for title, text, locale, colour, measures, pack in zip(b["title"], b["doc_text"], b["locale"], b["color"], b["attr_measures"], b["attr_pack_count"]):
+    out: dict[str, list] = {c: [] for c in ("models", "tokens", "size_of", "size", "bare", "pack", "colour", "words", "grams")}
+    for title, locale, colour, measures, pack in zip(b["title"], b["locale"], b["color"], b["attr_measures"], b["attr_pack_count"]):
         t, comma = folded(title or ""), locale == "es"
         sizes = quantities(t, comma)
-        starts = {a: q for _, q, _, a, _ in sizes}
-        models = {f"{m[1]} {m[2]}" for m in _model.finditer(t) if not starts.get(m.start(2))}
+        starts = {a for _, q, _, a, _ in sizes if q}
+        models = {f"{m[1]} {m[2]}" for m in _model.finditer(t) if m.start(2) not in starts}
         own = next(((q, float(v * s)) for v, q, s, a, _ in sizes if q and "x" not in t[max(0, a - 2) : a]), None)
-        dims = re.search(r"\d\s*[\"a-z]*\s*[x×*]\s*\d", t)
-        if dims and own:  # the numbers of a dimension are not the size
-            flat = [(q, float(v * s)) for v, q, s, a, e in sizes if q and not re.search(r"[x×*]\s*[a-z]?$", t[max(0, a - 4) : a]) and not re.match(r"\s*[^\d\s]*\s*[x×*]\s*[a-z]?\d", t[e : e + 14])]
+        if own and _dims.search(t):  # the numbers of a dimension are not the size
+            flat = [(q, float(v * s)) for v, q, s, a, e in sizes if q and not _side_before.search(t[max(0, a - 4) : a]) and not _side_behind.match(t[e : e + 14])]
             own = flat[0] if flat else None
         bare = None
         for entry in measures if own is None and measures is not None else []:
@@ -53,90 +65,34 @@ def _features(b: pd.DataFrame) -> pd.DataFrame:
             if known:
                 own = (known[0][0], sum(x for q, x in known if q == known[0][0]))
                 break
-            if len(read) == 1 and bare is None and "/" not in entry and not re.search("[^\\W\\d_]", entry):
+            if len(read) == 1 and bare is None and "/" not in entry and not _letters.search(entry):
                 bare = float(read[0][0])
                 break
         found = _pack.search(t)
-        latin = [w for w in re.findall(r"[^\W\d_]+", t)]
+        words = _word.findall(t)
+        names = [w for w in words if _latin.fullmatch(w)]
         out["models"].append(sorted(models))
+        out["tokens"].append(sorted({w for w in words if len(w) > 1} | {m[0] for m in _number.finditer(t) if m.start() not in starts}))
         out["size_of"].append(own[0] if own else None)
         out["size"].append(own[1] if own else None)
         out["bare"].append(bare if own is None else None)
         out["pack"].append(int(pack) if pd.notna(pack) and pack else int(next(g for g in found.groups() if g)) if found else 1)
         out["colour"].append(folded(colour).strip() or None if colour else None)
-        out["words"].append(sorted(set(latin) | {f"{x} {y}" for x, y in zip(latin, latin[1:])}))
-        names = [w for w in re.findall(r"[^\W\d_]+", t) if _latin.fullmatch(w)]
+        out["words"].append(sorted(set(words) | {f"{x} {y}" for x, y in zip(words, words[1:])}))
         out["grams"].append(sorted({_compact(w) for w in names} | {_compact(x + y) for x, y in zip(names, names[1:])}))
     return pd.DataFrame(out, index=b.index)
 
 
-_FEATURES = "doc_id string, locale string, brand string, attr_colour string, material string, audience string, category string, models array<string>, size_of string, size double, bare double, pack int, colour string, words array<string>, grams array<string>"
+_FEATURES = "doc_id string, locale string, brand string, attr_colour string, material string, audience string, category string, models array<string>, tokens array<string>, size_of string, size double, bare double, pack int, colour string, words array<string>, grams array<string>"
 _FACTS = ["brand_key", "colour", "size_of", "size", "bare", "pack", "material", "audience", "category"]
+_EQUAL = ["brand_key", "colour", "category"]
 
 
-def _alike(a: dict, b: dict) -> float | None:
-    """Weight of the facts two signatures share; None if a fact tells them apart."""
-    if a["pack"] != b["pack"]:
-        return None
-    weight = 0.0
-    for fact in ("brand_key", "colour", "category"):
-        if a[fact] and b[fact]:
-            if a[fact] != b[fact]:
-                return None
-            weight += 2
-    if a["size_of"] and a["size_of"] == b["size_of"]:
-        if abs(a["size"] - b["size"]) > SIZE_ALIKE * max(a["size"], b["size"]):
-            return None
-        weight += 2
-    for x, y in ((a, b), (b, a)):
-        if x["bare"] is not None and y["size_of"]:
-            if not any(abs(x["bare"] * float(u) - y["size"]) <= SIZE_ALIKE * y["size"] for u in _sizes[y["size_of"]]):
-                return None
-            weight += 1.5
-    if a["bare"] is not None and a["bare"] == b["bare"]:
-        weight += 1.5
-    return weight + sum(1.0 if a[f] == b[f] else -1.0 for f in ("material", "audience") if a[f] and b[f])
-
-
-def _groups(signatures: list[dict]) -> list[int]:
-    """The group of each signature of a block: the edges of the graph by falling weight, joining two groups
-    unless any two of their members are told apart."""
-    n = len(signatures)
-    edges: dict[tuple[int, int], float] = {}
-    apart = set()
-    for i in range(n):
-        for j in range(i + 1, n):
-            w = _alike(signatures[i], signatures[j])
-            if w is None:
-                apart.add((i, j))
-            else:
-                edges[i, j] = w
-    group, members = list(range(n)), {i: [i] for i in range(n)}
-    for (i, j), _ in sorted(edges.items(), key=lambda e: (-e[1], e[0])):
-        g, h = group[i], group[j]
-        if g != h and not any((min(x, y), max(x, y)) in apart for x in members[g] for y in members[h]):
-            members[g] += members.pop(h)
-            for x in members[g]:
-                group[x] = g
-    return group
-
-
-def product_groups(catalog: DataFrame, brands: DataFrame) -> DataFrame:
-    """``doc_id``, ``locale``, ``group_id`` of every listing; listings of one product share the group.
-
-    Blocks are pairs of a title word and the number next to it (series and model number); every listing
-    keeps its rarest block (its heaviest edges), and is alone if no other listing is in it. In a
-    block only distinct signatures (brand, colour, size, pack, material, audience, category) are compared,
-    however many listings share them: an edge needs that no known fact differs, weighs more the more facts
-    agree, and groups join along falling weights unless two of their members are told apart.
-
-    Null and blank fields tell nothing; a pack that is not named is one. A ``doc_id`` delivered twice counts
-    once; other columns are ignored. Brands are read from the column and the title by ``brands``
-    (``brand_id``, ``brand_name``, ``brand_kana``) and by what the column itself has often enough.
-    """
+def _facts(catalog: DataFrame, brands: DataFrame) -> DataFrame:
+    """``doc_id``, ``locale``, ``models``, ``tokens`` and the facts of each listing, brands and colours in one spelling."""
     first = lambda c: F.get(F.col(c), 0)
     rows = catalog.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", "locale", "brand", "title", "doc_text", "color", "attr_measures", "attr_pack_count", first("attr_colors").alias("attr_colour"), first("attr_materials").alias("material"), first("attr_audience").alias("audience"), "category"
+        "doc_id", F.coalesce("locale", F.lit("")).alias("locale"), "brand", "title", "color", "attr_measures", "attr_pack_count", first("attr_colors").alias("attr_colour"), first("attr_materials").alias("material"), first("attr_audience").alias("audience"), "category"
     )
     kept = ["doc_id", "locale", "brand", "attr_colour", "material", "audience", "category"]
 
@@ -144,31 +100,25 @@ def product_groups(catalog: DataFrame, brands: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.concat([b[kept], _features(b)], axis=1)
 
-    parsed = cut(rows.mapInPandas(read, _FEATURES).dropDuplicates(["doc_id"]))
-
-    # the block of each listing
-    models = parsed.select("doc_id", "locale", F.explode("models").alias("model"))
-    sizes = models.groupBy("locale", "model").agg(F.count(F.lit(1)).alias("n"))
-    rarest = models.join(sizes, ["locale", "model"]).groupBy("doc_id").agg(F.min(F.struct("n", "model")).alias("m"))
-    block = rarest.where("m.n > 1").select("doc_id", "m.model")
+    parsed = cut(rows.dropDuplicates(["doc_id"]).mapInPandas(read, _FEATURES))
 
-    # brands: of the column, else of the title
+    # brands: of the title, else of the column
     typed = parsed.select("brand").where(F.col("brand").isNotNull()).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
     listed = map_names(typed.select(F.col("brand").alias("value")), brands).select(F.col("value").alias("brand"), "brand_id")
 
     def cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            core = [next((c for c in name_cores(v) if c not in _no_brand), None) for v in b["brand"]]
-            yield pd.DataFrame({"brand": b["brand"], "n": b["n"], "brand_id": b["brand_id"], "core": [None if any(c in _no_brand for c in name_cores(v)) else x for v, x in zip(b["brand"], core)]})
+            spelt = [name_cores(v) for v in b["brand"]]
+            yield pd.DataFrame({"brand": b["brand"], "n": b["n"], "brand_id": b["brand_id"], "core": [None if not s or any(c in _no_brand for c in s) else s[0] for s in spelt]})
 
     cored = cut(typed.join(listed, "brand").mapInPandas(cores, "brand string, n long, brand_id long, core string"))
     key = F.when(F.col("brand_id") >= 0, F.concat(F.lit("#"), F.col("brand_id"))).otherwise(F.col("core"))
-    of_column = cored.select("brand", key.alias("column_key")).where(F.col("column_key").isNotNull())
+    of_column = cored.select("brand", key.alias("column_key"), F.col("core").alias("column_form")).where(F.col("column_key").isNotNull())
     reference = brands.select("brand_id", F.explode(F.array("brand_name", "brand_kana")).alias("v")).where(F.col("v").isNotNull())
     forms = reference.mapInPandas(lambda bs: (pd.DataFrame({"form": b["v"].map(lambda v: _compact(folded(v))), "key": "#" + b["brand_id"].astype(str)}) for b in bs), "form string, key string")
-    often = cored.where("brand_id < 0 AND core IS NOT NULL").groupBy("core").agg(F.sum("n").alias("n")).where(F.col("n") >= BRAND_LISTINGS)
-    forms = cut(forms.unionByName(often.select(F.col("core").alias("form"), F.col("core").alias("key"))).groupBy("form").agg(F.min("key").alias("key")))
-    in_title = lookup(parsed.select("doc_id", F.explode("grams").alias("form")), forms, ["form"]).groupBy("doc_id").agg(F.max_by("key", F.struct(F.length("form"), "key")).alias("title_key"))
+    typed_forms = cored.where("brand_id < 0 AND core IS NOT NULL").groupBy("core").agg(F.sum("n").alias("n")).where("n > 2")
+    forms = cut(forms.unionByName(typed_forms.select(F.col("core").alias("form"), F.col("core").alias("key"))).groupBy("form").agg(F.min("key").alias("key")))
+    in_title = lookup(parsed.select("doc_id", F.explode("grams").alias("form")), forms, ["form"]).groupBy("doc_id").agg(F.max(F.struct(F.length("form"), "key", "form")).alias("t")).select("doc_id", F.col("t.key").alias("title_key"), F.col("t.form").alias("title_form"))
 
     # colours in the words of the attribute column, learned from listings that have both
     both = parsed.where(F.col("attr_colour").isNotNull() & F.col("colour").isNotNull()).groupBy("locale", "colour", "attr_colour").agg(F.count(F.lit(1)).alias("n"))
@@ -176,25 +126,246 @@ def product_groups(catalog: DataFrame, brands: DataFrame) -> DataFrame:
     from_title = lookup(parsed.where(F.col("attr_colour").isNull() & F.col("colour").isNull()).select("doc_id", "locale", F.explode("words").alias("colour")), names, ["locale", "colour"])
     from_title = from_title.groupBy("doc_id").agg(F.max_by("known", F.struct(F.length("colour"), "known")).alias("title_colour"))
 
-    facts = lookup(parsed, cut(of_column), ["brand"], "left")
-    facts = lookup(facts, names, ["locale", "colour"], "left").join(block, "doc_id", "left").join(in_title, "doc_id", "left").join(from_title, "doc_id", "left")
+    facts = lookup(parsed.drop("words", "grams"), cut(of_column), ["brand"], "left")
+    facts = lookup(facts, names, ["locale", "colour"], "left").join(in_title, "doc_id", "left").join(from_title, "doc_id", "left")
+    named = F.concat(F.coalesce("title_form", F.lit("")), F.lit(" "), F.coalesce("column_form", F.lit("")))
     facts = facts.withColumn("brand_key", F.coalesce("title_key", "column_key")).withColumn("colour", F.coalesce("attr_colour", "known", "title_colour"))
-    facts = cut(facts.select("doc_id", "locale", "model", *_FACTS))
+    tokens = F.concat(F.filter(F.col("tokens"), lambda w: ~F.contains(named, w)), F.when(F.col("brand_key").isNotNull(), F.array(F.concat(F.lit("@"), "brand_key"))).otherwise(F.array().cast("array<string>")))
+    return cut(facts.select("doc_id", "locale", "models", tokens.alias("tokens"), *_FACTS))
 
-    # signatures are few even in a block of many listings: what is collected doesn't grow with the rows
-    signatures = facts.where(F.col("model").isNotNull()).select("locale", "model", F.struct(*_FACTS).alias("s")).distinct()
-    blocks = signatures.groupBy("locale", "model").agg(F.array_sort(F.collect_list("s")).alias("s"))
 
-    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"locale": b["locale"], "model": b["model"], "s": b["s"], "number": [_groups(list(x)) for x in b["s"]]})
-
-    kinds = dict(facts.dtypes)
-    schema = f"locale string, model string, s array<struct<{','.join(f'{c}:{kinds[c]}' for c in _FACTS)}>>, number array<int>"
-    numbered = blocks.mapInPandas(cluster, schema).select("locale", "model", F.explode(F.arrays_zip("s", "number")).alias("z")).select("locale", "model", "z.s.*", "z.number")
-    sign = F.sha2(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ["locale", "model", *_FACTS]]), 256)
-    group = F.concat_ws("|", "locale", "model", F.col("number").cast("string"))
-    placed = lookup(facts.select("doc_id", "locale", sign.alias("sign")), cut(numbered.select(sign.alias("sign"), group.alias("group_id"))), ["sign"], "left")
+def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of the listing graph and the node of each listing. Listings that say the same are one node, however many they are.
+
+    A node's ``blocks`` are its model numbers, with the series word or with the brand, and pairs of its ``RARE_TOKENS``
+    rarest tokens, of these the rarer part; blocks of one listing are left out. ``main`` is its rarest model. A word and
+    number that listings of all brands have is no model.
+    """
+    branded = facts.select("locale", "brand_key", F.explode("models").alias("model")).groupBy("locale", "model", "brand_key").agg(F.count(F.lit(1)).alias("n"))
+    known_brand = F.when(F.col("brand_key").isNotNull(), F.col("n"))
+    strange = cut(branded.groupBy("locale", "model").agg((F.max(known_brand) / F.sum(known_brand)).alias("share")).where(F.col("share") < ONE_BRAND).select("locale", "model"))
+    found = lookup(facts.select("doc_id", "locale", F.explode("models").alias("model")), strange, ["locale", "model"], "left_anti")
+    counts = cut(found.groupBy("locale", "model").agg(F.count(F.lit(1)).alias("n")))
+    models = lookup(found, counts, ["locale", "model"]).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "model"))), lambda x: x["model"]).alias("models"))
+    facts = facts.drop("models").join(models, "doc_id", "left").withColumn("models", F.coalesce("models", F.array().cast("array<string>")))
+    each = facts.select("doc_id", "locale", F.explode("tokens").alias("token"))
+    counts = cut(each.groupBy("locale", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tokens = lookup(each, counts, ["locale", "token"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by_rarity"))
+    rare = F.array_sort(F.transform(F.slice("by_rarity", 1, RARE_TOKENS), lambda x: x["token"]))
+    pairs = F.coalesce(F.flatten(F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, RARE_TOKENS), lambda y: F.concat(F.lit("2 "), x, F.lit(" "), y)))), F.array().cast("array<string>"))
+    models = F.transform("models", lambda m: F.concat(F.lit("1 "), m))
+    numbers = F.when(F.col("brand_key").isNotNull(), F.transform("models", lambda m: F.concat(F.lit("0 @"), "brand_key", F.lit(" "), F.substring_index(m, " ", -1)))).otherwise(F.array().cast("array<string>"))
+    known = facts.join(tokens, "doc_id", "left").select("doc_id", "locale", "models", *_FACTS, F.array_distinct(F.concat(models, numbers, pairs)).alias("blocks"))
+    known = cut(known)
+    each = known.select("doc_id", "locale", F.explode("blocks").alias("block"))
+    counts = cut(each.groupBy("locale", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ranked = lookup(each, counts, ["locale", "block"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("b"))
+    paired, named = F.filter("b", lambda x: x["block"].startswith("2")), F.filter("b", lambda x: ~x["block"].startswith("2"))
+    kept = ranked.select("doc_id", F.concat(named, F.slice(paired, F.lit(1), F.ceil(F.size(paired) * KEPT_BLOCKS).cast("int"))).alias("blocks"))
+    whole = known.drop("blocks").join(kept, "doc_id").withColumn("main", F.get("models", F.lit(0)))
+    sign = F.md5(F.to_json(F.struct("locale", "main", "models", "blocks", *_FACTS)))
+    whole = cut(whole.withColumn("node", F.unhex(sign)))
+    nodes = whole.groupBy("node").agg(*[F.first(c).alias(c) for c in ("locale", "main", "models", "blocks", *_FACTS)])
+    return cut(nodes), whole.select("doc_id", "node")
+
+
+def _graph(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``a``, ``b``, ``w``: nodes that share blocks, weighted by the rarity of the blocks, without the edges that are weak at both ends.
+
+    An edge stays if it weighs at least the mean of the edges of one of its nodes, or if it stands for a common model number. Packs of other
+    sizes are never one product, so a block holds one size of pack. Blocks of more than ``chunk`` nodes are
+    cut into chunks that meet in tasks of their own.
+    """
+    total = nodes.count() or 1
+    member = nodes.select(F.col("node").alias("item"), "locale", "pack", F.explode("blocks").alias("x")).select(F.concat_ws("|", "locale", F.col("pack").cast("string"), "x.block").alias("basket"), "item", F.greatest(F.log(F.lit(float(total) + 1) / F.col("x.n")), F.lit(0.1)).alias("rarity"), (~F.col("x.block").startswith("2")).alias("model"))
+    member = cut(member)
+    sizes = cut(member.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.max("rarity").alias("rarity"), F.max("model").alias("model")).where("n > 1"))
+    large = cut(sizes.where(F.col("n") > chunk))
+    some = lookup(member.select("basket", "item"), sizes.where(F.col("n") <= chunk), ["basket"])
+    met = some.join(some.select("basket", F.col("item").alias("b")), "basket").where(F.col("item") < F.col("b")).select(F.col("item").alias("a"), "b", "rarity", "model")
+    if large.limit(1).count():
+        far = _chunked(lookup(member.select("basket", "item"), large.select("basket"), ["basket"], "left_semi"), large.select("basket", "n"), chunk, keep_basket=True)
+        met = met.unionByName(lookup(far, large.select("basket", "rarity", "model"), ["basket"]).select("a", "b", "rarity", "model"))
+    edges = cut(met.groupBy("a", "b").agg(F.sum("rarity").alias("w"), F.max("model").alias("model")))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.avg("w").alias("mean"))
+    ends = cut(ends)
+    seen = lookup(lookup(edges, ends.select(F.col("node").alias("a"), F.col("mean").alias("mean_a")), ["a"]), ends.select(F.col("node").alias("b"), F.col("mean").alias("mean_b")), ["b"])
+    return seen.where(F.col("model") | (F.col("w") >= F.least("mean_a", "mean_b") - 1e-9)).select("a", "b", "w")
+
+
+def _same_or_unknown(c: str) -> Column:
+    return F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(True))
+
+
+def _bare_fits(x: str, y: str) -> Column:
+    """Whether the number without unit of one side is the size of the other in some unit."""
+    fits = F.lit(False)
+    for q, units in UNITS.items():
+        near = reduce(lambda p, r: p | r, [F.abs(F.col(f"{x}.bare_lo") * float(u) - F.col(f"{y}.size_lo")) <= SIZE_ALIKE * F.col(f"{y}.size_lo") for u in units])
+        fits = fits | ((F.col(f"{y}.size_of") == q) & near)
+    return F.when(F.col(f"{x}.bare_lo").isNotNull() & F.col(f"{y}.size_of").isNotNull(), F.coalesce(fits, F.lit(False))).otherwise(F.lit(True))
+
+
+def _compatible() -> Column:
+    """Whether no fact tells the clusters ``x`` and ``y`` apart."""
+    lo, hi = F.least("x.size_lo", "y.size_lo"), F.greatest("x.size_hi", "y.size_hi")
+    sizes = (F.col("x.size_of") != F.col("y.size_of")) | (hi - lo <= SIZE_ALIKE * hi)
+    ok = (F.col("x.pack") == F.col("y.pack")) & F.coalesce(sizes, F.lit(True)) & _bare_fits("x", "y") & _bare_fits("y", "x")
+    return reduce(lambda p, c: p & _same_or_unknown(c), _EQUAL, ok)
+
+
+def _agreement() -> Column:
+    """Weight of the facts two nodes share."""
+    both = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
+    weight = reduce(lambda p, c: p + F.when(both(c), 2.0).otherwise(0.0), [*_EQUAL, "size_of"], F.lit(0.0))
+    for x, y in (("x", "y"), ("y", "x")):
+        weight = weight + F.when(F.col(f"{x}.bare_lo").isNotNull() & F.col(f"{y}.size_of").isNotNull(), 1.5).otherwise(0.0)
+    weight = weight + F.when(both("bare_lo"), 1.5).otherwise(0.0)
+    for c in ("material", "audience"):
+        weight = weight + F.coalesce(F.when(F.col(f"x.{c}") == F.col(f"y.{c}"), 1.0).otherwise(F.when(F.col(f"x.{c}").isNotNull() & F.col(f"y.{c}").isNotNull(), -1.0)), F.lit(0.0))
+    return weight
+
+
+def _same_model() -> Column:
+    """A model number of either is the other's, or is misspelt by a slip; without one, most of the blocks are common."""
+    xm, ym = F.col("x.main"), F.col("y.main")
+    word, number = (lambda m: F.substring_index(m, " ", 1)), (lambda m: F.substring_index(m, " ", -1))
+    near = lambda m, n: (number(m) == number(n)) & F.levenshtein(word(m), word(n), 2).between(0, 2) & (F.least(F.length(word(m)), F.length(word(n))) >= 5)
+    slip = F.exists("x.models", lambda m: F.exists("y.models", lambda n: near(m, n)))
+    known = F.array_contains("x.models", ym) | F.array_contains("y.models", xm) | slip
+    blocks = lambda s: F.transform(F.col(f"{s}.blocks"), lambda b: b["block"])
+    common = F.size(F.array_intersect(blocks("x"), blocks("y"))) >= WITHOUT_MODEL * F.greatest(F.size(blocks("x")), F.size(blocks("y")))
+    return F.when(xm.isNotNull() & ym.isNotNull(), F.coalesce(known, F.lit(False))).otherwise(F.coalesce(common & (F.col("x.brand_key") == F.col("y.brand_key")), F.lit(False)))
+
+
+class _Cluster:
+    """What a group of nodes is known to be, as ``_compatible`` has it in columns."""
+
+    __slots__ = ("equal", "pack", "size_of", "lo", "hi", "bare")
+
+    def __init__(self, equal, pack, size_of, size, bare):
+        self.equal, self.pack, self.size_of, self.lo, self.hi, self.bare = equal, pack, size_of, size, size, bare
+
+    def _bare_fits(self, other: "_Cluster") -> bool:
+        return self.bare is None or other.size_of is None or any(abs(self.bare * u - other.lo) <= SIZE_ALIKE * other.lo for u in _sizes[other.size_of])
+
+    def fits(self, other: "_Cluster") -> bool:
+        if self.pack != other.pack or any(x is not None and y is not None and x != y for x, y in zip(self.equal, other.equal)):
+            return False
+        if self.size_of is not None and self.size_of == other.size_of:
+            hi = max(self.hi, other.hi)
+            if hi - min(self.lo, other.lo) > SIZE_ALIKE * hi:
+                return False
+        return self._bare_fits(other) and other._bare_fits(self)
+
+    def take(self, other: "_Cluster") -> None:
+        most = lambda x, y: y if x is None else x if y is None else max(x, y)
+        self.equal = [most(x, y) for x, y in zip(self.equal, other.equal)]
+        self.size_of = most(self.size_of, other.size_of)
+        self.lo, self.hi = (y if x is None else x if y is None else f(x, y) for f, x, y in ((min, self.lo, other.lo), (max, self.hi, other.hi)))
+        self.bare = most(self.bare, other.bare)
+
+
+_ITEM = "component binary, node binary, other binary, w double, h long, brand_key string, colour string, category string, pack int, size_of string, size double, bare double"
+
+
+def _join_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All components of a partition: edges by falling weight join two clusters if no fact tells them apart."""
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    b = pd.concat(rows, ignore_index=True)
+    is_node = b["other"].isna()
+    n = b[is_node]
+    n = n.astype(object).where(n.notna(), None)
+    cluster = {bytes(k): _Cluster(list(e), p, q, s, r) for k, *e, p, q, s, r in zip(n["node"], *(n[c] for c in _EQUAL), n["pack"], n["size_of"], n["size"], n["bare"])}
+    root = {k: k for k in cluster}
+
+    def find(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges = b[~is_node].sort_values(["w", "h"], ascending=False)
+    for x, y in zip(edges["node"], edges["other"]):
+        x, y = find(bytes(x)), find(bytes(y))
+        if x != y and cluster[x].fits(cluster[y]):
+            x, y = min(x, y), max(x, y)
+            cluster[x].take(cluster.pop(y))
+            root[y] = x
+    yield pd.DataFrame({"node": list(root), "cluster": [find(x) for x in root]})
+
+
+def _clusters(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
+    """``node``, ``cluster``: groups of nodes joined along falling weights, unless a known fact of one group differs from one of the other.
+
+    ``edges``: ``a``, ``b``, ``w``, ``h`` (parts equal weights). Connected components stand together in a task; one of over
+    ``large`` edges is joined in rounds over all tasks, with the same result.
+    """
+    of = cut(components(edges, "a", "b"))
+    sized = lookup(edges, of.select(F.col("node").alias("a"), "component"), ["a"])
+    giant = cut(sized.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("component"))
+    facts = nodes.select("node", *_EQUAL, "pack", "size_of", "size", "bare")
+    placed = facts.join(of, "node")
+    none = lambda kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds]
+    some_giant = giant.limit(1).count() > 0
+    usual = (lambda d: lookup(d, giant, ["component"], "left_anti")) if some_giant else (lambda d: d)
+    as_node = usual(placed).select("component", "node", *none([("other", "binary"), ("w", "double"), ("h", "bigint")]), *_EQUAL, "pack", "size_of", "size", "bare")
+    as_edge = usual(sized).select("component", F.col("a").alias("node"), F.col("b").alias("other"), "w", "h", *none([("brand_key", "string"), ("colour", "string"), ("category", "string"), ("pack", "int"), ("size_of", "string"), ("size", "double"), ("bare", "double")]))
+    together = as_node.unionByName(as_edge).repartition("component").mapInPandas(_join_clusters, "node binary, cluster binary")
+    if some_giant:
+        rest = lookup(sized, giant, ["component"], "left_semi")
+        together = together.unionByName(_rounds(lookup(placed, giant, ["component"], "left_semi").drop("component"), rest.select("a", "b", "w", "h")))
+    return together
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_join_clusters`` without a task that holds a component.
+
+    In each round every two clusters that are each other's best merge, which is what falling weights do with them; their
+    facts become one, edges to a third are put together, and edges between clusters told apart go, until no edge is left.
+    """
+    state = cut(nodes.select(F.col("node").alias("cluster"), *_EQUAL, "pack", "size_of", F.col("size").alias("size_lo"), F.col("size").alias("size_hi"), F.col("bare").alias("bare_lo")))
+    of = nodes.select("node", F.col("node").alias("cluster"))
+    while True:
+        x, y = state.select(F.col("cluster").alias("a"), F.struct("*").alias("x")), state.select(F.col("cluster").alias("b"), F.struct("*").alias("y"))
+        open_ = cut(lookup(lookup(edges, x, ["a"]), y, ["b"]).where(_compatible()).select("a", "b", "w", "h"))
+        if not open_.limit(1).count():
+            return of
+        ends = open_.select(F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("other")), F.struct(F.col("b").alias("me"), F.col("a").alias("other")))).alias("e"), "w", "h").select("e.*", "w", "h")
+        best = cut(ends.groupBy("me").agg(F.max(F.struct("w", "h", "other")).alias("m")).select("me", F.col("m.other").alias("other")))
+        merged = cut(best.alias("p").join(best.alias("q"), (F.col("p.other") == F.col("q.me")) & (F.col("q.other") == F.col("p.me")) & (F.col("p.me") > F.col("p.other"))).select(F.col("p.me").alias("old"), F.col("p.other").alias("new")))
+        of = cut(lookup(of, merged.withColumnRenamed("old", "cluster"), ["cluster"], "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
+        moved = lookup(state, merged.withColumnRenamed("old", "cluster"), ["cluster"], "left").withColumn("cluster", F.coalesce("new", "cluster"))
+        state = cut(moved.groupBy("cluster").agg(*[F.max(c).alias(c) for c in (*_EQUAL, "pack", "size_of")], F.min("size_lo").alias("size_lo"), F.max("size_hi").alias("size_hi"), F.max("bare_lo").alias("bare_lo")))
+        for end in ("a", "b"):
+            open_ = lookup(open_, merged.withColumnRenamed("old", end), [end], "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        edges = open_.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct("w", "h")).alias("m")).select("a", "b", "m.*")
+
+
+def product_groups(catalog: DataFrame, brands: DataFrame) -> DataFrame:
+    """``doc_id``, ``locale``, ``group_id`` of every listing; listings of one product share the group.
+
+    Blocks are pairs of rare title tokens (the brand is one); listings that share blocks are joined by edges weighted by
+    the blocks' rarity, weak edges are pruned at their nodes, and an edge survives if the model number is the same and no
+    known fact (brand, colour, category, pack, size) differs. Clusters grow along the edges with most facts in common,
+    as long as no fact of one differs from a fact of the other.
+
+    Null and blank fields tell nothing; a pack that is not named is one. A ``doc_id`` delivered twice counts
+    once; other columns are ignored. Brands are read from the title and the column by ``brands``
+    (``brand_id``, ``brand_name``, ``brand_kana``) and by what the column itself has several times.
+    """
+    facts = _facts(catalog, brands)
+    nodes, of_listing = _nodes(facts)
+    edges = _graph(nodes)
+    one = F.struct("node", "main", "models", "blocks", *_FACTS, F.col("size").alias("size_lo"), F.col("size").alias("size_hi"), F.col("bare").alias("bare_lo"))
+    x, y = nodes.select(F.col("node").alias("a"), one.alias("x")), nodes.select(F.col("node").alias("b"), one.alias("y"))
+    verified = lookup(lookup(edges, x, ["a"]), y, ["b"]).where(_compatible() & _same_model())
+    weighted = cut(verified.select("a", "b", (_agreement() + F.col("w") / (F.col("w") + 100.0)).alias("w"), F.xxhash64("a", "b").alias("h")))
+    of_node = _clusters(nodes, weighted)
+    grouped = of_listing.join(of_node, "node", "left").select("doc_id", F.lower(F.hex(F.coalesce("cluster", "node"))).alias("group_id"))
+    placed = facts.select("doc_id", "locale").join(grouped, "doc_id", "left")
     return placed.select("doc_id", "locale", F.coalesce("group_id", F.concat(F.lit("="), F.col("doc_id"))).alias("group_id"))
 
 

@@ -18,7 +18,7 @@ def _ordinary(baskets: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
 
 
-def _chunked(baskets: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+def _chunked(baskets: DataFrame, sizes: DataFrame, chunk: int, keep_basket: bool = False) -> DataFrame:
     """Pairs of large baskets: every two chunks of a basket meet in a task of their own."""
     parts = F.ceil(F.col("n") / chunk).cast("int")
     placed = lookup(baskets, sizes, ["basket"]).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
@@ -26,7 +26,7 @@ def _chunked(baskets: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
     left = placed.select("basket", "item", "p", F.explode(other).alias("q")).where("p <= q").select("basket", F.col("p").alias("lo"), F.col("q").alias("hi"), F.col("item").alias("x"))
     right = placed.select("basket", "item", "p", F.explode(other).alias("q")).where("q <= p").select("basket", F.col("q").alias("lo"), F.col("p").alias("hi"), F.col("item").alias("y"))
     met = left.join(right, ["basket", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met.select(*(["basket"] if keep_basket else []), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def associated_pairs(rows: DataFrame, basket: str, item: str, min_together: int, min_lift: float, chunk: int = CHUNK) -> DataFrame:

@@ -161,6 +161,13 @@ def test_product_groups(spark):
         _listing("d1", "Tikalo Marwen 300 wall shelf 150 cm Pack of 3", color="green", pack=3),
         _listing("e1", "Nozaha Marwen 300 wall shelf 150 cm", brand="Nozaha", color="green"),
         _listing("f1", "Tikalo Marwen 305 wall shelf 150 cm", color="green"),
+        _listing("a4", "Tikalo Marwen 300 wall shelf 150 cm ref 99812", color="green"),
+        _listing("i1", "Nozaha velvet garden stool round 40 cm", brand="Nozaha", color="red"),
+        _listing("i2", "round velvet stool for the garden, Nozaha 40 cm", brand="Nozaha", color="red"),
+        _listing("i3", "Nozaha velvet garden stool round 60 cm", brand="Nozaha", color="red"),
+        _listing("k1", "Zabotem Foods Kelvaro 710 new 2024", brand="Zabotem Foods"),
+        _listing("k2", "Zabotem Foods Dremilo 560 new 2024", brand="Zabotem Foods"),
+        _listing("k3", "Zabotem Foods Kelvario 710 tea", brand="Zabotem Foods"),
         _listing("g1", None, brand=None),
         _listing("g2", "", brand="N/A"),
         _listing("h1", "word " * 30_000),
@@ -174,13 +181,34 @@ def test_product_groups(spark):
         assert r.doc_id not in got
         got[r.doc_id] = r.group_id
     assert got.keys() == {r[0] for r in rows if r[0]}
-    assert got["a1"] == got["a2"] == got["a3"]
-    assert len({got[k] for k in ("a1", "b1", "c1", "d1", "e1", "f1", "g1", "g2", "h1")}) == 9
+    assert got["a1"] == got["a2"] == got["a3"] == got["a4"]
+    assert got["i1"] == got["i2"] and got["k1"] == got["k3"]
+    assert len({got[k] for k in ("a1", "b1", "c1", "d1", "e1", "f1", "g1", "g2", "h1", "i1", "i3", "k1", "k2")}) == 13
+    want = {("a1", "a2"), ("a1", "a3"), ("a1", "a4"), ("a2", "a3"), ("a2", "a4"), ("a3", "a4"), ("i1", "i2"), ("k1", "k3")}
     for chunk in (256, 2):
-        assert {(r.doc_id_a, r.doc_id_b) for r in listings.group_pairs(groups, chunk).collect()} == {("a1", "a2"), ("a1", "a3"), ("a2", "a3")}
+        assert {(r.doc_id_a, r.doc_id_b) for r in listings.group_pairs(groups, chunk).collect()} == want
     assert listings.product_groups(df.limit(0), reference).count() == 0
 
 
+def test_large_components_and_blocks(spark):
+    """Rounds over all tasks give what one task gives, and chunks of a block what the block gives."""
+    rng = random.Random(9)
+    colours, sizes = [None, "red", "green"], [None, 100.0, 101.0, 150.0]
+    rows = [(bytearray(f"{i:03}".encode()), None, rng.choice(colours), None, 1, "length" if s else None, s, rng.choice([None, 10.0]) if s is None else None) for i in range(24) for s in [rng.choice(sizes)]]
+    nodes = spark.createDataFrame(rows, "node binary, brand_key string, colour string, category string, pack int, size_of string, size double, bare double")
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(60)})
+    edges = spark.createDataFrame([(rows[a][0], rows[b][0], float(rng.randrange(5)), rng.randrange(10**9)) for a, b in pairs], "a binary, b binary, w double, h long")
+    one, many = ({bytes(r.node): bytes(r.cluster) for r in listings._clusters(nodes, edges, large=n).collect()} for n in (10**6, 0))
+    assert one == many and 1 < len(set(one.values())) < 24
+    facts = {bytes(r[0]): r for r in rows}
+    for c in set(one.values()):
+        members = [facts[k] for k, v in one.items() if v == c]
+        assert len({m[2] for m in members} - {None}) <= 1 and len({m[6] for m in members} - {None, 100.0}) <= 1
+    blocks = spark.createDataFrame([(bytearray(f"{i}".encode()), "us", 1, [(40, "2 x"), (2 + i % 3, f"1 m{i % 7}")]) for i in range(40)], "node binary, locale string, pack int, blocks array<struct<n:long,block:string>>")
+    got = [{(bytes(r.a), bytes(r.b), round(r.w, 6)) for r in listings._graph(blocks, chunk).collect()} for chunk in (256, 4)]
+    assert got[0] and {e[:2] for e in got[0]} == {e[:2] for e in got[1]}
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_ranking", "p5_found", "p6_found", "p7_found", "p8_packing", "p9_found", "p10_found"])
 def test_queries_run(spark, name):
     from shelfspark.llm.registry import QUERIES
