@@ -1,30 +1,41 @@
-"""Joins that look at sizes first: a broadcast behind a count, salted keys beyond it."""
+"""Joins that look at sizes first: a broadcast behind a count of rows and bytes, measured hot keys split beyond it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes (as text) up to which a lookup table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
+#: Rows of one key that stay together in a task.
+HOT_ROWS = 1_000_000
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of at most ``size`` bytes in all; reads no more than it must."""
+    head = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
+    return head["n"] <= rows and (head["size"] or 0) <= size
 
 
-def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """``rows`` joined to ``mapping`` (unique in ``on``), whatever share of ``rows`` one key holds.
+def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined to ``mapping``, whatever share of ``rows`` one key holds.
 
-    Up to ``limit`` rows the mapping is broadcast. Beyond it both sides are shuffled by the key and a
-    salt: ``rows`` get a random salt and the mapping is repeated for each, so that a hot key is spread
-    over ``salts`` tasks. ``mapping`` should be materialised, as it is counted first.
+    A small mapping (``limit`` rows, ``BROADCAST_BYTES``) is broadcast. Else both sides are shuffled by the key; keys that
+    have more than ``hot`` rows, which are counted, are split over as many tasks as that takes, and only for
+    those keys the mapping is repeated. ``mapping`` should be materialised, as it is counted first.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup keeps the rows' side: {how}")
-    if at_most(mapping, limit):
+    if small(mapping, limit):
         return rows.join(F.broadcast(mapping), on, how)
-    salted = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mixed = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
+    split = counts.select(*on, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    # at most one key in ``hot`` rows is split, so there are few of them
+    found = [r.asDict() for r in split.limit(BROADCAST_ROWS + 1).collect()]
+    if not found or len(found) > BROADCAST_ROWS:
+        return rows.join(mapping, on, how)
+    parts = rows.sparkSession.createDataFrame([tuple(r[c] for c in (*on, "_parts")) for r in found], split.schema)
+    spread = F.coalesce("_parts", F.lit(1))
+    salted = mapping.join(F.broadcast(parts), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop("_parts")
+    mixed = rows.join(F.broadcast(parts), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), spread).cast("int")).drop("_parts")
     return mixed.join(salted, [*on, "_salt"], how).drop("_salt")

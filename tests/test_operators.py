@@ -27,10 +27,18 @@ def test_running_total(spark):
 def test_lookup(spark):
     rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2)], "k string, v long")
     mapping = spark.createDataFrame([("a", "A"), ("c", "C")], "k string, m string")
-    for limit in (10, 0):
-        assert sizing.lookup(rows, mapping, ["k"], limit=limit).count() == 50
-        assert sizing.lookup(rows, mapping, ["k"], "left", limit=limit).count() == 52
-        assert sizing.lookup(rows, mapping.select("k"), ["k"], "left_anti", limit=limit).count() == 2
+    for options in ({"limit": 10}, {"limit": 0}, {"limit": 0, "hot": 7}):
+        assert sizing.lookup(rows, mapping, ["k"], **options).count() == 50
+        assert sizing.lookup(rows, mapping, ["k"], "left", **options).count() == 52
+        assert sizing.lookup(rows, mapping.select("k"), ["k"], "left_anti", **options).count() == 2
+        assert sizing.lookup(rows, mapping.select("k"), ["k"], "left_semi", **options).count() == 50
+        assert sizing.lookup(rows, mapping.union(mapping), ["k"], **options).count() == 100
+
+
+def test_small(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 20, "t string")
+    assert sizing.small(df) and not sizing.small(df, rows=19) and not sizing.small(df, size=10_000)
+    assert sizing.small(df.limit(0), rows=0)
 
 
 def test_knn_blocks_and_recall(spark):
