@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.setjoin import char_grams, prefix_join, swap_or_edit
+from shelfspark.llm.setjoin import char_grams, prefix_join, short_join, swap_or_edit
 from shelfspark.llm.textform import folded
 from shelfspark.operators.sizing import lookup
 from shelfspark.session import cut
 
-#: Least Jaccard similarity of the character bigrams of two spellings; one slip in five letters keeps a third.
+#: Least Jaccard similarity of the character bigrams of two spellings; one slip in a longer name than ``SHORT`` keeps more.
 SIMILARITY = 0.3
+#: Letters of a name of which one slip can leave too few bigrams; such names are met by their forms with one letter less as well.
+SHORT = 8
 
 # Legal forms, shop wording and signs that do not belong to a name.
 BEFORE = r"visit the|visita la tienda(?: oficial)? de|tienda oficial(?: de)?|tienda(?: de)?|brand|marca|ブランド|メーカー|by|de|from|por"
@@ -71,7 +73,7 @@ def map_names(values: DataFrame, reference: DataFrame, threshold: float = SIMILA
     ``values``: column ``value``; nulls and blanks are left out, repeated values come out once.
     ``reference``: ``brand_id``, ``brand_name``, ``brand_kana`` (may be null). A value is an entry's if
     one of its spellings equals one of the entry's, or else is the most similar by the bigram sets and
-    at most one slip away; ties go to the lower ``brand_id``. An empty reference gives -1 throughout.
+    at most one slip (also a swap) away, however short it is; ties go to the lower ``brand_id``. An empty reference gives -1 throughout.
     """
 
     def cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,12 +88,13 @@ def map_names(values: DataFrame, reference: DataFrame, threshold: float = SIMILA
 
     wanted = typed.where(F.col("core").isNotNull()).select("core").distinct()
     exact = lookup(wanted, forms.withColumnRenamed("form", "core"), ["core"]).withColumn("jaccard", F.lit(1.0))
-    rest = wanted.join(exact, "core", "left_anti")
-    near = prefix_join(
-        rest.select(F.col("core").alias("key"), char_grams(F.col("core")).alias("tokens")),
-        forms.select(F.col("form").alias("key"), char_grams(F.col("form")).alias("tokens")),
-        threshold,
-    )
+    rest = cut(wanted.join(exact, "core", "left_anti").select(F.col("core").alias("key"), char_grams(F.col("core")).alias("tokens")))
+    listed = forms.select(F.col("form").alias("key"), char_grams(F.col("form")).alias("tokens"))
+    near = prefix_join(rest, listed, threshold)
+    short = short_join(rest, listed, SHORT)
+    shared = F.size(F.array_intersect(char_grams(F.col("left_key")), char_grams(F.col("right_key"))))
+    every = F.size(F.array_union(char_grams(F.col("left_key")), char_grams(F.col("right_key"))))
+    near = near.unionByName(short.withColumn("jaccard", shared / every)).distinct()
     near = near.where(swap_or_edit(F.col("left_key"), F.col("right_key")))
     near = lookup(near.withColumnRenamed("right_key", "form"), forms, ["form"])
     best = near.groupBy(F.col("left_key").alias("core")).agg(F.min(F.struct((-F.col("jaccard")).alias("d"), "brand_id")).alias("m"))

@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "brand_list").select("brand_id", "brand_name", "brand_kana")
     names = cut(brands.select(F.col("brand_name").alias("value")).distinct())
     typed = _typed_brands(spark, sf_dir)
-    strange = lookup(typed, names.withColumn("listed", F.lit(True)), ["value"], "left").where(F.col("listed").isNull()).drop("listed")
+    strange = cut(lookup(typed, names, ["value"], "left_anti"))
     mapping = cut(map_names(strange.select("value"), brands).select("value", "brand_id"))
     return lookup(strange, mapping, ["value"]).select("src_field", "rec_key", "brand_id").distinct()
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.sizing import lookup
+from shelfspark.session import cut
+
 
 def char_grams(text: Column, n: int = 2) -> Column:
     """The distinct character n-grams of a text, with one padding sign at either end."""
@@ -37,19 +40,33 @@ def prefix_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     t = F.lit(float(threshold))
     sides = [s.select("key", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0) for s in (left, right)]
     exploded = [s.select("key", F.explode("tokens").alias("token")) for s in sides]
-    counts = exploded[0].unionByName(exploded[1]).groupBy("token").agg(F.count(F.lit(1)).alias("n_of"))
+    counts = cut(exploded[0].unionByName(exploded[1]).groupBy("token").agg(F.count(F.lit(1)).alias("n_of")))
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
-        ranked = side.join(counts, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n_of", "token"))).alias("ordered"))
+        ranked = lookup(side, counts, ["token"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n_of", "token"))).alias("ordered"))
         n = F.size("ordered")
         length = n - F.ceil(t * n - 1e-9).cast("int") + 1
         ranked = ranked.select(F.col("key").alias(f"{name}_key"), n.alias(f"n_{name}"), F.transform("ordered", lambda x: x["token"]).alias(f"set_{name}"), length.alias("length"))
         return ranked.select(f"{name}_key", f"n_{name}", f"set_{name}", F.posexplode(F.slice(f"set_{name}", F.lit(1), F.col("length"))).alias(f"at_{name}", "token"))
 
-    a, b = prefixes(exploded[0], "left"), prefixes(exploded[1], "right")
+    a, b = prefixes(exploded[0], "left"), cut(prefixes(exploded[1], "right"))
     need = F.ceil(t / (1 + t) * (F.col("n_left") + F.col("n_right")) - 1e-9)
     reach = 1 + F.least(F.col("n_left") - F.col("at_left"), F.col("n_right") - F.col("at_right")) - 1
-    pairs = a.join(b, "token").where((F.col("n_right") >= t * F.col("n_left") - 1e-9) & (F.col("n_left") >= t * F.col("n_right") - 1e-9) & (reach >= need - F.least("at_left", "at_right")))
+    pairs = lookup(a, b, ["token"]).where((F.col("n_right") >= t * F.col("n_left") - 1e-9) & (F.col("n_left") >= t * F.col("n_right") - 1e-9) & (reach >= need - F.least("at_left", "at_right")))
     shared = F.size(F.array_intersect("set_left", "set_right"))
     scored = pairs.select("left_key", "right_key", (shared / (F.col("n_left") + F.col("n_right") - shared)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= t - 1e-9).distinct()
+
+
+def slip_forms(text: Column) -> Column:
+    """The text and all texts with one sign less: two texts a slip (or a swap) apart have one of them in common."""
+    size = F.char_length(text)
+    shorter = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, size)))
+    return F.array_distinct(F.concat(F.array(text), shorter))
+
+
+def short_join(left: DataFrame, right: DataFrame, longest: int) -> DataFrame:
+    """``left_key``, ``right_key``: pairs of ``key`` texts of which one has at most ``longest`` signs that share a slip form."""
+    a = left.where(F.char_length("key") <= longest + 1).select(F.col("key").alias("left_key"), F.explode(slip_forms(F.col("key"))).alias("form"))
+    b = cut(right.where(F.char_length("key") <= longest + 1).select(F.col("key").alias("right_key"), F.explode(slip_forms(F.col("key"))).alias("form")))
+    return lookup(a, b, ["form"]).select("left_key", "right_key").distinct()

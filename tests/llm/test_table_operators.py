@@ -34,6 +34,25 @@ def test_map_names(spark, typed, brand_id, cache={}):
     assert cache[typed] == brand_id
 
 
+def _slips(word, rng):
+    i = rng.randrange(len(word))
+    letter = rng.choice("abcz")
+    j = rng.randrange(max(1, len(word) - 1))
+    return {word[:i] + word[i + 1 :], word[:i] + letter + word[i:], word[:i] + letter + word[i + 1 :], word[:j] + word[j + 1 : j + 2] + word[j : j + 1] + word[j + 2 :]}
+
+
+def test_every_single_slip_is_found(spark):
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(n)) for n in range(2, 13) for _ in range(12)} | {"zavo", "nexo", "qi"})
+    typed = sorted({t for n in names for _ in range(8) for t in _slips(n, rng)} - {""} | {"zvao", "neox", "qo"})
+    values = spark.createDataFrame([(t,) for t in typed], "value string")
+    table = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], REFERENCE_SCHEMA)
+    near = {t: {i for i, n in enumerate(names) if n == t} or {i for i, n in enumerate(names) if overlap.slips(t, n, 1) <= 1} for t in typed}
+    got = {r.value: r.brand_id for r in brands.map_names(values, table).collect()}
+    for t in typed:
+        assert got[t] in near[t] if near[t] else got[t] == -1, t
+
+
 def test_prefix_join_against_brute_force(spark):
     rng = random.Random(1)
     sets = [("k%d" % i, [rng.choice("abcdefghijkl") for _ in range(rng.randrange(0, 8))]) for i in range(60)] + [("null", None), ("same", ["a", "b"]), ("same2", ["b", "a", "a"])]
