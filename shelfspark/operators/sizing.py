@@ -17,19 +17,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return head["n"] <= rows and (head["size"] or 0) <= size
 
 
-def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: int = HOT_ROWS, count: str | None = None) -> DataFrame:
     """``rows`` joined to ``mapping``, whatever share of ``rows`` one key holds.
 
     A small mapping (``limit`` rows, ``BROADCAST_BYTES``) is broadcast. Else both sides are shuffled by the key; keys that
     have more than ``hot`` rows, which are counted, are split over as many tasks as that takes, and only for
-    those keys the mapping is repeated. ``mapping`` should be materialised, as it is counted first.
+    those keys the mapping is repeated. ``mapping`` should be materialised, as it is counted first. Where it has the
+    number of ``rows`` of each key, ``count`` names that column and ``rows`` aren't counted again.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup keeps the rows' side: {how}")
     if small(mapping, limit):
         return rows.join(F.broadcast(mapping), on, how)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-    split = counts.select(*on, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    counts = mapping.select(*on, F.col(count).alias("_n")) if count else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    split = counts.where(F.col("_n") > hot).select(*on, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
     # at most one key in ``hot`` rows is split, so there are few of them
     found = [r.asDict() for r in split.limit(BROADCAST_ROWS + 1).collect()]
     if not found or len(found) > BROADCAST_ROWS:
