@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from math import log
@@ -16,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.textform import plain
+from shelfspark.operators.ranking import running_total
+from shelfspark.session import cut
 
-#: Items searched for in one pass over the corpus; more are searched for block by block.
-ITEMS_A_PASS = 20_000
+#: Characters of items searched for in one pass over the corpus (what is sent to the tasks); more take further passes.
+CHARS_A_PASS = 20_000_000
 #: Units of a passage, of a test string and of a shift block: words, and characters of spaceless texts.
 WORDS, CHARS = (12, 3, 2), (40, 8, 3)
 #: Share of a passage, by weight, that must be found again, and what one of its diagonals must have.
@@ -53,43 +54,66 @@ def _units(text: str) -> tuple[list[str], str]:
 class WuManber:
     """All places where a stream of symbols has one of many test strings of equal length.
 
-    The test strings are all windows of ``length`` symbols of ``patterns`` (symbols > 0, parted by 0). A
-    table over blocks of ``block`` symbols says how far the search may shift; only where it may not
-    shift, the strings that end with that block are taken from its bucket and compared directly.
+    The test strings are all windows of ``length`` symbols of ``patterns`` (symbols > 0, parted by 0). A table over
+    hashed blocks of ``block`` symbols says how far the search may shift: by how much the last such block in any test
+    string lies before its end, or past the block if no test string has it. Only where it may not shift, the strings that
+    end with that block are taken from its bucket and compared directly. Many stretches of the stream are searched at once.
     """
 
+    STRETCH, BITS = 512, 20
+
     def __init__(self, patterns: np.ndarray, length: int, block: int, base: int):
         self.patterns, self.length, self.block, self.base = patterns, length, block, base
         inside = np.convolve(patterns == 0, np.ones(length, int), "valid") == 0 if len(patterns) >= length else np.zeros(0, bool)
         starts = np.flatnonzero(inside)
-        suffix = self._blocks(patterns)[starts + length - block] if len(starts) else np.zeros(0, np.int64)
+        self.shift = np.full(1 << self.BITS, length - block + 1, np.int64)
+        for before_end in range(length - block, -1, -1):
+            self.shift[self._hash(self._block(patterns, starts + length - block - before_end))] = before_end
+        suffix = self._block(patterns, starts + length - block)
         order = np.argsort(suffix, kind="stable")
         self.starts, suffix = starts[order], suffix[order]
         self.suffixes, self.first, self.count = np.unique(suffix, return_index=True, return_counts=True)
 
-    def _blocks(self, stream: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(stream) - self.block + 1), np.int64)
+    def _block(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
         for k in range(self.block):
-            out = out * self.base + stream[k : len(stream) - self.block + 1 + k]
+            out = out * self.base + stream[at + k]
         return out
 
-    def shifts(self, stream: np.ndarray) -> np.ndarray:
-        """For each block of the stream 0 if a test string ends with it, else 1 (shift on)."""
-        at = np.searchsorted(self.suffixes, b := self._blocks(stream))
-        return (at == len(self.suffixes)) | (self.suffixes[np.minimum(at, len(self.suffixes) - 1)] != b) if len(self.suffixes) else np.ones(len(b), bool)
+    def _hash(self, block: np.ndarray) -> np.ndarray:
+        return (block * 0x2545F4914F6CDD1D >> 20) & ((1 << self.BITS) - 1)
+
+    def candidates(self, stream: np.ndarray) -> tuple[np.ndarray, int]:
+        """Places of blocks that may end a test string, and how many places were looked at to find them."""
+        first, end = self.length - self.block, len(stream) - self.block + 1
+        at = np.arange(first, end, self.STRETCH)
+        stop = np.minimum(at + self.STRETCH, end)
+        found, looked = [np.zeros(0, np.int64)], 0
+        while len(at):
+            looked += len(at)
+            step = self.shift[self._hash(self._block(stream, at))]
+            found.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            on = at < stop
+            at, stop = at[on], stop[on]
+        return np.sort(np.concatenate(found)), looked
 
     def search(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start of each occurrence in the stream and in ``patterns``."""
         back = self.length - self.block
-        ends = np.flatnonzero(~self.shifts(stream))
-        ends = ends[ends >= back]
-        bucket = np.searchsorted(self.suffixes, self._blocks(stream)[ends])
+        if not len(self.suffixes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends, _ = self.candidates(stream)
+        block = self._block(stream, ends)
+        bucket = np.minimum(np.searchsorted(self.suffixes, block), len(self.suffixes) - 1)
+        real = self.suffixes[bucket] == block
+        ends, bucket = ends[real], bucket[real]
         times = self.count[bucket]
         places = np.repeat(ends - back, times)
         within = np.arange(len(places)) - np.repeat(np.cumsum(times) - times, times)
         strings = self.starts[np.repeat(self.first[bucket], times) + within]
         same = np.ones(len(places), bool)
-        for k in range(back):
+        for k in range(self.length):
             same &= stream[places + k] == self.patterns[strings + k]
         return places[same], strings[same]
 
@@ -97,20 +121,20 @@ class WuManber:
 class _Side:
     """The items as one stream of symbols (words or characters), their weights and the searcher."""
 
-    def __init__(self, items: list[tuple[int, list[str] | str]], sizes: tuple[int, int, int], diagonal: float, weighted: bool):
+    def __init__(self, items: list[tuple[int, list[str] | str]], sizes: tuple[int, int, int], diagonal: float, weights: dict[str, float] | None):
         self.passage, length, block = sizes
         self.diagonal = diagonal
         pad = 2 * self.passage
-        of_items = Counter(w for _, units in items for w in set(units))
-        self.codes = {w: i + 1 for i, w in enumerate(sorted(of_items))}
-        weight = np.zeros(len(self.codes) + 1)
-        for w, i in self.codes.items():
-            weight[i] = 0.1 + log((1 + len(items)) / of_items[w]) if weighted else 1.0
+        self.codes = {w: i + 1 for i, w in enumerate(sorted({w for _, units in items for w in units}))}
+        weight = np.ones(len(self.codes) + 1)
+        weight[0] = 0
+        for w, i in self.codes.items() if weights is not None else ():
+            weight[i] = weights[w]
         stream, owner = [np.zeros(pad, np.int64)], [np.full(pad, -1)]
         for n, (_, units) in enumerate(items):
             stream += [np.fromiter((self.codes[u] for u in units), np.int64, len(units)), np.zeros(pad, np.int64)]
             owner += [np.full(len(units), n), np.full(pad, -1)]
-        self.items, self.pad = items, pad
+        self.ids, self.pad = [i for i, _ in items], pad
         self.stream, self.owner, self.weight = np.concatenate(stream), np.concatenate(owner), weight
         self.finder = WuManber(self.stream, length, block, len(self.codes) + 1)
 
@@ -144,7 +168,8 @@ class _Side:
         begins = np.cumsum([0] + [self.pad + len(d) for d in docs])[:-1] + self.pad
         p, q = self.finder.search(stream)
         at = p * np.int64(len(self.stream)) + q
-        first = ~np.isin(at - len(self.stream) - 1, at, kind="sort")  # the first seed of each run on a diagonal
+        before = at - len(self.stream) - 1  # ``at`` ascends, as places and the strings of a bucket do
+        first = at[np.minimum(np.searchsorted(at, before), max(len(at) - 1, 0))] != before  # the first seed of each run on a diagonal
         p, q = p[first], q[first]
         near = self._shares(stream, p, q, 0) >= self.diagonal
         p, q = p[near], q[near]
@@ -155,35 +180,51 @@ class _Side:
         return best
 
 
-def _sides(items: list[tuple[int, str]]) -> tuple[_Side, _Side]:
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units of each item: its words, or its characters if it is written without spaces."""
+    for b in batches:
+        units = [_units(t) for t in b["text"]]
+        yield pd.DataFrame({"item_id": b["item_id"], "text": b["text"], "spaceless": [bool(c) for _, c in units], "words": [[] if c else sorted(set(w)) for w, c in units]})
+
+
+def _sides(items: list[tuple[int, str]], weights: dict[str, float]) -> tuple[_Side, _Side]:
     units = [(i, *_units(t)) for i, t in items]
-    words = _Side([(i, w) for i, w, c in units if not c], WORDS, DIAGONAL, True)
-    return words, _Side([(i, c) for i, _, c in units if c], CHARS, DIAGONAL, False)
+    words = _Side([(i, w) for i, w, c in units if not c], WORDS, DIAGONAL, weights)
+    return words, _Side([(i, c) for i, _, c in units if c], CHARS, DIAGONAL, None)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", chars_a_pass: int = CHARS_A_PASS) -> DataFrame:
     """Documents that contain a passage of an item: ``doc_id``, ``item_id``, ``share``; each pair once.
 
     A passage is ``WORDS`` consecutive words of ``items.text`` (in scripts without spaces ``CHARS``
     characters), of which by weight a share of ``WORDS_ALIKE`` (``CHARS_ALIKE``) stands in the document in
-    the same order; a word weighs more the fewer items have it. Case, punctuation, markup, line breaks,
+    the same order; a word weighs more the fewer of all items have it. Case, punctuation, markup, line breaks,
     accents and character forms are disregarded. Null and empty texts, and items shorter than a passage,
     are in no pair; other columns are ignored.
 
-    The corpus is read once per ``items_a_pass`` items, without a shuffle; the items of a pass are sent
-    to the tasks, so ``items_a_pass`` bounds what is sent.
+    The corpus is read once per ``chars_a_pass`` characters of items, without a shuffle; tables and items of a pass are
+    built once and broadcast, so ``chars_a_pass`` bounds what is sent (an item is never parted). The result is the same
+    for every ``chars_a_pass``.
     """
-    wanted = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    passes = max(1, -(-wanted.count() // items_a_pass))
+    spark = documents.sparkSession
+    wanted = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    read = wanted.mapInPandas(_measured, "item_id long, text string, spaceless boolean, words array<string>")
+    order = [F.col("item_id"), F.col("text")]
+    read = cut(running_total(read.withColumn("size", F.char_length("text").cast("double")), order, "size", "before").withColumn("pass", F.floor(F.col("before") / chars_a_pass)))
+    of_items = cut(read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    n_items = read.where("NOT spaceless").count()
     kind = documents.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double"
     some = documents.select(key, text).where(F.col(text).isNotNull())
-    found = None
-    for k in range(passes):
-        block = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).distinct().orderBy("item_id", "text").collect()]
-
-        def search(batches: Iterator[pd.DataFrame], block: list[tuple[int, str]] = block) -> Iterator[pd.DataFrame]:
-            words, chars = _sides(block)
+    found = spark.createDataFrame([], schema)
+    for k in sorted(r["pass"] for r in read.select("pass").distinct().collect()):
+        own = read.where(F.col("pass") == k)
+        known = own.select(F.explode("words").alias("word")).distinct().join(of_items, "word").collect()
+        block = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").orderBy(*order).collect()]
+        sides = spark.sparkContext.broadcast(_sides(block, {r["word"]: 0.1 + log((1 + n_items) / r["n"]) for r in known}))
+
+        def search(batches: Iterator[pd.DataFrame], sides=sides) -> Iterator[pd.DataFrame]:
+            words, chars = sides.value
             for b in batches:
                 share = (b[text].str.len().cumsum() // 3_000_000).to_numpy()
                 for _, part in b.groupby(share, sort=False):
@@ -195,9 +236,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
                         (chars, has_chars, [chars.encode(units[i][1]) for i in has_chars], CHARS_ALIKE),
                     ):
                         if len(side.finder.starts) and streams:
-                            out += [(keys[ids[d]], side.items[n][0], s) for (d, n), s in side.found(streams).items() if s >= least]
+                            out += [(keys[ids[d]], side.ids[n], s) for (d, n), s in side.found(streams).items() if s >= least]
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
 
-        part = some.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(some.mapInPandas(search, schema))
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
