@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm.fertility import bands, fertility, outside
 from shelfspark.llm.leaks import leaked_passages
 from shelfspark.llm.packing import pack, token_counts
 from shelfspark.llm.repetition import repetition
 from shelfspark.llm.textform import plain_forms
+from shelfspark.session import cut
 from shelfspark.sources.tables import table
 
 
@@ -39,5 +41,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_repetition(spark, sf_dir).where(F.col("repeated_share") >= 0.3).select("doc_id").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p8_packing": p8_packing, "p9_found": p9_found, "p10_found": p10_found, "p10_repetition": p10_repetition}
+def p10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters per token, byte fallback and token entropy of every document, and what lies outside its script's band."""
+    measured = cut(fertility(table(spark, sf_dir, "documents")))
+    return outside(measured, cut(bands(measured)))
+
+
+QUERIES = {"p7_found": p7_found, "p8_packing": p8_packing, "p9_found": p9_found, "p10_found": p10_found, "p10_repetition": p10_repetition, "p10_fertility": p10_fertility}
 SQL: dict[str, str] = {}

@@ -109,6 +109,20 @@ def test_wu_manber_against_brute_force():
         assert set(zip(*map(list, found))) == want
 
 
+@pytest.mark.parametrize(("length", "block", "base", "share"), [(3, 2, 500, 0.55), (8, 3, 500, 0.2)])
+def test_wu_manber_skips(length, block, base, share):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    patterns = rng.integers(1, 250, 400)
+    stream = rng.integers(250, base, 50_000)
+    stream[1000 : 1000 + length] = patterns[20 : 20 + length]
+    finder = leaks.WuManber(patterns, length, block, base)
+    ends, looked = finder.candidates(stream)
+    assert looked < share * len(stream) and 1000 + length - block in ends
+    assert (1000, 20) in set(zip(*map(list, finder.search(stream))))
+
+
 def _corpus():
     rng = random.Random(3)
     return {i: [rng.choice(WORDS) for _ in range(40)] for i in range(8)}
@@ -133,9 +147,12 @@ def test_leaked_passages(spark):
     d = spark.createDataFrame(docs + docs[:1], "doc_id long, text string").selectExpr("*", "doc_id AS item_id")
     e = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (91, ""), (92, "too short")], "item_id long, text string")
     want = {(1, 0), (2, 1), (4, 3), (8, 4)}
-    for a_pass in (1000, 3):
-        got = leaks.leaked_passages(d, e, items_a_pass=a_pass).collect()
+    every = []
+    for a_pass in (1, 7 * 250, 10**9):  # one, about seven and all items a pass
+        got = leaks.leaked_passages(d, e, chars_a_pass=a_pass).collect()
         assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+        every.append({(r.doc_id, r.item_id): r.share for r in got})
+    assert every[0] == every[1] == every[2]
     assert leaks.leaked_passages(d.limit(0), e).count() == 0
     assert leaks.leaked_passages(d, e.limit(0)).count() == 0
 
@@ -188,3 +205,25 @@ def test_token_counts(spark):
         ids = encode.encode_ordinary(r.text or "")
         assert got[r.doc_id] == len(ids) and encode.decode(ids) == (r.text or "")
     assert got[2] == got[3] == 0 and got[4] > 1000
+
+
+def test_fertility(spark):
+    import sentencepiece
+
+    from shelfspark.llm import fertility as fe
+
+    rng = random.Random(11)
+    ordinary = [(i, " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing"]) for _ in range(rng.randrange(60, 90)))) for i in range(60)]
+    odd = [(100, "buy lamp now " * 60), (101, "\U0001f9ff\U0001fae0" * 60 + " lamp"), (102, None), (103, ""), (104, "x" * 50_000), (105, "重いねじが厚手の覆いを温めた")]
+    df = spark.createDataFrame(ordinary + odd + ordinary[:1], "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "'z' AS script")
+    measured = fe.fertility(df)
+    model = sentencepiece.SentencePieceProcessor(model_file=fe.TOKENIZER)
+    got = {r.doc_id: r for r in measured.collect()}
+    assert measured.count() == len(ordinary) + len(odd) + 1
+    for i, text in ordinary + odd:
+        ids = model.encode(text or "")
+        assert got[i].n_tokens == len(ids) and got[i].byte_share == pytest.approx(sum(map(model.is_byte, ids)) / max(1, len(ids)))
+    assert got[105].script == "cjk" and got[0].script == "latin" and got[103].script == "none" and got[101].byte_share > 0.5
+    flagged = {r.doc_id: r.rejected for r in fe.outside(measured, fe.bands(measured)).collect()}
+    assert "entropy_share" in flagged[100] and "byte_share" in flagged[101] and flagged[102] == [] and sum(bool(flagged[i]) for i, _ in ordinary) <= 3
+    assert fe.outside(measured.limit(0), fe.bands(measured.limit(0))).count() == 0
