@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as T
+from shelfspark.functions.words import COUNT_CJK, COUNT_WORDS
 from shelfspark.operators import sampling
 from shelfspark.operators.ranking import top_k
 from shelfspark.sources import files
@@ -320,7 +321,7 @@ _ONCE = "(SELECT * FROM judgments QUALIFY row_number() OVER (PARTITION BY exampl
 _MATCH = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[’`´]', '''', 'g'), '(\\d),(\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
 _PACK = (
     "((?:pack|set|box|case|bag|lot|bundle) of \\d+|(?:paquete|juego|lote|set|pack) de \\d+|\\d+\\s*-?\\s*(?:"
-    + "|".join(sorted(T.COUNT_WORDS.split("|"), key=len, reverse=True)) + ")\\b|\\d+\\s*(?:" + "|".join(sorted(T.COUNT_CJK.split("|"), key=len, reverse=True)) + "))"
+    + "|".join(sorted(COUNT_WORDS, key=len, reverse=True)) + ")\\b|\\d+\\s*(?:" + "|".join(sorted(COUNT_CJK, key=len, reverse=True)) + "))"
 )
 
 QUERIES = {

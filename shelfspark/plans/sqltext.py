@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfspark.functions.text import CJK, STOPWORDS
+from shelfspark.functions.words import CJK, STOPWORDS
 
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS.split())
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 def sql_normalize(x: str) -> str:
