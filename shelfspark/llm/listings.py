@@ -141,43 +141,44 @@ def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rarest tokens, of these the rarer part; blocks of one listing are left out. ``main`` is its rarest model. A word and
     number that listings of all brands have is no model.
     """
-    branded = facts.select("locale", "brand_key", F.explode("models").alias("model")).groupBy("locale", "model", "brand_key").agg(F.count(F.lit(1)).alias("n"))
-    known_brand = F.when(F.col("brand_key").isNotNull(), F.col("n"))
-    strange = cut(branded.groupBy("locale", "model").agg((F.max(known_brand) / F.sum(known_brand)).alias("share")).where(F.col("share") < ONE_BRAND).select("locale", "model"))
-    found = lookup(facts.select("doc_id", "locale", F.explode("models").alias("model")), strange, ["locale", "model"], "left_anti")
-    counts = cut(found.groupBy("locale", "model").agg(F.count(F.lit(1)).alias("n")))
-    models = lookup(found, counts, ["locale", "model"]).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "model"))), lambda x: x["model"]).alias("models"))
-    facts = facts.drop("models").join(models, "doc_id", "left").withColumn("models", F.coalesce("models", F.array().cast("array<string>")))
-    each = facts.select("doc_id", "locale", F.explode("tokens").alias("token"))
-    counts = cut(each.groupBy("locale", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    tokens = lookup(each, counts, ["locale", "token"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by_rarity"))
-    rare = F.array_sort(F.transform(F.slice("by_rarity", 1, RARE_TOKENS), lambda x: x["token"]))
-    pairs = F.coalesce(F.flatten(F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, RARE_TOKENS), lambda y: F.concat(F.lit("2 "), x, F.lit(" "), y)))), F.array().cast("array<string>"))
-    models = F.transform("models", lambda m: F.concat(F.lit("1 "), m))
-    numbers = F.when(F.col("brand_key").isNotNull(), F.transform("models", lambda m: F.concat(F.lit("0 @"), "brand_key", F.lit(" "), F.substring_index(m, " ", -1)))).otherwise(F.array().cast("array<string>"))
-    known = facts.join(tokens, "doc_id", "left").select("doc_id", "locale", "models", *_FACTS, F.array_distinct(F.concat(models, numbers, pairs)).alias("blocks"))
-    known = cut(known)
-    each = known.select("doc_id", "locale", F.explode("blocks").alias("block"))
-    counts = cut(each.groupBy("locale", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    ranked = lookup(each, counts, ["locale", "block"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("b"))
-    paired, named = F.filter("b", lambda x: x["block"].startswith("2")), F.filter("b", lambda x: ~x["block"].startswith("2"))
-    kept = ranked.select("doc_id", F.concat(named, F.slice(paired, F.lit(1), F.ceil(F.size(paired) * KEPT_BLOCKS).cast("int"))).alias("blocks"))
+    named = F.concat(F.transform("models", lambda m: F.struct(F.lit(True).alias("model"), m.alias("token"))), F.transform("tokens", lambda t: F.struct(F.lit(False).alias("model"), t.alias("token"))))
+    each = facts.select("doc_id", "locale", "brand_key", F.explode(named).alias("t")).select("doc_id", "locale", "brand_key", "t.*")
+    counts = each.groupBy("locale", "model", "token").agg(F.count(F.lit(1)).alias("n")).where("model OR n > 1")
+    branded = each.where("model AND brand_key IS NOT NULL").groupBy("locale", "model", "token", "brand_key").agg(F.count(F.lit(1)).alias("k"))
+    strange = branded.groupBy("locale", "model", "token").agg((F.max("k") / F.sum("k")).alias("share")).where(F.col("share") < ONE_BRAND).select("locale", "model", "token")
+    counts = cut(counts.join(strange, ["locale", "model", "token"], "left_anti"))
+    seen = lookup(each.drop("brand_key"), counts, ["locale", "model", "token"], count="n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "model", "token"))).alias("t"))
+    models = F.transform(F.filter("t", lambda x: x["model"]), lambda x: x["token"])
+    rare = F.array_sort(F.transform(F.slice(F.filter("t", lambda x: ~x["model"]), 1, RARE_TOKENS), lambda x: x["token"]))
+    known = facts.drop("tokens", "models").join(seen.select("doc_id", models.alias("models"), rare.alias("rare")), "doc_id")
+
+    def block(kind: int, *parts: Column) -> Column:
+        return F.struct(F.lit(kind < 2).alias("model"), F.xxhash64(F.lit(kind), "locale", "pack", *parts).alias("block"))
+
+    pairs = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, RARE_TOKENS), lambda y: block(2, x, y))))
+    numbers = F.transform(F.filter("models", lambda m: F.col("brand_key").isNotNull()), lambda m: block(0, F.col("brand_key"), F.substring_index(m, " ", -1)))
+    known = cut(known.withColumn("blocks", F.array_distinct(F.concat(F.transform("models", lambda m: block(1, m)), numbers, pairs))).drop("rare"))
+    each = known.select("doc_id", F.inline("blocks"))
+    counts = cut(each.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ranked = lookup(each, counts, ["block"], count="n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "block", "model"))).alias("b"))
+    paired = F.filter("b", lambda x: ~x["model"])
+    kept = ranked.select("doc_id", F.concat(F.filter("b", lambda x: x["model"]), F.slice(paired, F.lit(1), F.ceil(F.size(paired) * KEPT_BLOCKS).cast("int"))).alias("blocks"))
     whole = known.drop("blocks").join(kept, "doc_id").withColumn("main", F.get("models", F.lit(0)))
-    sign = F.md5(F.to_json(F.struct("locale", "main", "models", "blocks", *_FACTS)))
+    sign = F.md5(F.to_json(F.struct("locale", "models", "blocks", *_FACTS)))
     whole = cut(whole.withColumn("node", F.unhex(sign)))
-    nodes = whole.groupBy("node").agg(*[F.first(c).alias(c) for c in ("locale", "main", "models", "blocks", *_FACTS)])
+    nodes = whole.groupBy("node").agg(*[F.first(c).alias(c) for c in ("main", "models", "blocks", *_FACTS)])
     return cut(nodes), whole.select("doc_id", "node")
 
 
 def _graph(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``a``, ``b``, ``w``: nodes that share blocks, weighted by the rarity of the blocks, without the edges that are weak at both ends.
 
-    An edge stays if it weighs at least the mean of the edges of one of its nodes, or if it stands for a common model number. Packs of other
-    sizes are never one product, so a block holds one size of pack. Blocks of more than ``chunk`` nodes are
+    An edge stays if it weighs at least the mean of the edges of one of its nodes, or if it stands for a common model number. Other packs
+    are never one product, so a block holds one size of pack. Blocks of more than ``chunk`` nodes are
     cut into chunks that meet in tasks of their own.
     """
     total = nodes.count() or 1
-    member = nodes.select(F.col("node").alias("item"), "locale", "pack", F.explode("blocks").alias("x")).select(F.concat_ws("|", "locale", F.col("pack").cast("string"), "x.block").alias("basket"), "item", F.greatest(F.log(F.lit(float(total) + 1) / F.col("x.n")), F.lit(0.1)).alias("rarity"), (~F.col("x.block").startswith("2")).alias("model"))
+    member = nodes.select(F.col("node").alias("item"), F.inline("blocks")).select(F.col("block").alias("basket"), "item", F.greatest(F.log(F.lit(float(total) + 1) / F.col("n")), F.lit(0.1)).cast("float").alias("rarity"), "model")
     member = cut(member)
     sizes = cut(member.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.max("rarity").alias("rarity"), F.max("model").alias("model")).where("n > 1"))
     large = cut(sizes.where(F.col("n") > chunk))

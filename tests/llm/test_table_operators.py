@@ -223,7 +223,7 @@ def test_large_components_and_blocks(spark):
     for c in set(one.values()):
         members = [facts[k] for k, v in one.items() if v == c]
         assert len({m[2] for m in members} - {None}) <= 1 and len({m[6] for m in members} - {None, 100.0}) <= 1
-    blocks = spark.createDataFrame([(bytearray(f"{i}".encode()), "us", 1, [(40, "2 x"), (2 + i % 3, f"1 m{i % 7}")]) for i in range(40)], "node binary, locale string, pack int, blocks array<struct<n:long,block:string>>")
+    blocks = spark.createDataFrame([(bytearray(f"{i}".encode()), [(40, 99, False), (2 + i % 3, i % 7, True)]) for i in range(40)], "node binary, blocks array<struct<n:long,block:long,model:boolean>>")
     got = [{(bytes(r.a), bytes(r.b), round(r.w, 6)) for r in listings._graph(blocks, chunk).collect()} for chunk in (256, 4)]
     assert got[0] and {e[:2] for e in got[0]} == {e[:2] for e in got[1]}
 
