@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.ranking import top_k
+from shelfspark.operators.sizing import lookup
+from shelfspark.session import cut
 
 K1, B = 1.2, 0.75
 RRF = 60
 #: Stated queries that meet the vectors in one pass.
 QUERY_BLOCK = 4096
+#: Queries scored against a batch of vectors at once.
+TILE = 256
 #: Share of the exact neighbours a cell search has to find, and the vectors on which that is measured.
 RECALL, RECALL_SAMPLE = 0.9, 256
 
@@ -44,15 +49,90 @@ def query_terms(queries: DataFrame, key: str, group: str, terms: Column) -> Data
     return each.groupBy("query", "group", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """``query``, ``doc``, ``score``, ``n_matched`` of every document that has a term of the query."""
-    hits = asked.join(index, ["group", "term"])
-    return hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"), F.count(F.lit(1)).alias("n_matched"))
+def analysed(docs: DataFrame, doc: str, group: str, terms: Column) -> DataFrame:
+    """``group``, ``doc``, ``terms``: every text analysed once, for the statistics and the search."""
+    return cut(docs.select(F.col(group).alias("group"), F.col(doc).alias("doc"), terms.alias("terms")))
 
 
-def bm25_topk(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` documents of each query: score descending, document ascending."""
-    return top_k(bm25_scores(index, asked), ["query"], [F.desc("score"), F.asc("doc")], k)
+def bm25_topk(docs: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK, k1: float = K1, b: float = B) -> DataFrame:
+    """The best ``k`` documents of each query: ``query``, ``doc``, ``score``, ``n_matched``, ``rk`` (score descending, document ascending).
+
+    ``docs``: as ``analysed``; ``asked``: as ``query_terms``. The queries go block by block, with the document frequencies
+    of their terms, to the documents; each task indexes the terms asked for of its own documents, scores them there
+    and keeps the best ``k`` a query, so neither postings nor candidates are shuffled, whatever documents a term has.
+    """
+    totals = docs.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    df = docs.select("group", F.explode(F.array_distinct("terms")).alias("term")).groupBy("group", "term").agg(F.count(F.lit(1)).alias("df"))
+    known = cut(lookup(asked, cut(df), ["group", "term"]).join(totals, "group"))
+    blocks = max(1, -(-known.select("query").distinct().count() // block))
+    best = None
+    for n in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast(_TermQueries(rows, k1, b))
+        part = docs.mapInPandas(_score(sent, k), f"query long, doc {dict(docs.dtypes)['doc']}, score double, n_matched long")
+        best = part if best is None else best.unionByName(part)
+    return top_k(best, ["query"], [F.desc("score"), F.asc("doc")], k)
+
+
+class _TermQueries:
+    """A block of queries by group: the terms they have, their inverse frequencies, and each query's terms and how often it has them."""
+
+    def __init__(self, rows: pd.DataFrame, k1: float, b: float):
+        self.k1, self.b = k1, b
+        self.groups: dict = {}
+        for group, g in rows.groupby("group", dropna=False, sort=False):
+            terms = g.drop_duplicates("term")
+            ids = {t: i for i, t in enumerate(terms["term"])}
+            idf = np.log1p((terms["n"] - terms["df"] + 0.5) / (terms["df"] + 0.5)).to_numpy(float)
+            of = [(q, x["term"].map(ids).to_numpy(), x["qtf"].to_numpy(float)) for q, x in g.groupby("query", sort=False)]
+            self.groups[group] = (ids, idf, float(g["avgdl"].iloc[0]), of)
+
+
+def _score(sent, k: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = sent.value
+        names: dict = {}
+        posted: dict = {}
+        for b in batches:
+            for group, doc, terms in zip(b["group"], b["doc"], b["terms"]):
+                if group in block.groups and terms is not None and len(terms):
+                    ids = block.groups[group][0]
+                    docs, found = names.setdefault(group, []), posted.setdefault(group, [])
+                    counts = Counter(i for i in map(ids.get, terms) if i is not None)
+                    if counts:
+                        found += [(i, len(docs), n, len(terms)) for i, n in counts.items()]
+                        docs.append(doc)
+        for group, found in posted.items():
+            ids, idf, avgdl, queries = block.groups[group]
+            term, doc, tf, dl = np.array(found, np.int64).reshape(-1, 4).T
+            order = np.argsort(term, kind="stable")
+            term, doc = term[order], doc[order]
+            weight = (idf[term] * tf[order] * (block.k1 + 1) / (tf[order] + block.k1 * (1 - block.b + block.b * dl[order] / avgdl))) if len(term) else np.zeros(0)
+            ends = np.searchsorted(term, np.arange(len(idf) + 1))
+            docs = np.array(names.get(group, []), object)
+            out: list[tuple] = []
+            for query, its, qtf in queries:
+                spans = [slice(ends[i], ends[i + 1]) for i in its]
+                at = np.concatenate([doc[s] for s in spans])
+                if not len(at):
+                    continue
+                hit, place, matched = np.unique(at, return_inverse=True, return_counts=True)
+                score = np.round(np.bincount(place, np.concatenate([weight[s] * n for s, n in zip(spans, qtf)])), 6)
+                if len(hit) > k:
+                    some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    hit, score, matched = hit[some], score[some], matched[some]
+                first = np.lexsort((docs[hit], -score))[:k] if len(hit) > 1 else [0]
+                out += [(query, docs[hit[i]], score[i], matched[i]) for i in first]
+            yield pd.DataFrame(out, columns=["query", "doc", "score", "n_matched"])
+
+    return search
+
+
+def bm25_pairs(index: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``query``, ``doc``, ``score``, ``n_matched`` and the matched ``terms`` of given pairs that share a term."""
+    wanted = asked.join(pairs.select("query", "doc"), "query")
+    hits = wanted.join(index, ["group", "term", "doc"])
+    return hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"), F.count(F.lit(1)).alias("n_matched"), F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def max_scores(index: DataFrame, asked: DataFrame, k1: float = K1) -> DataFrame:
@@ -100,13 +180,14 @@ def _nearest(rows: list, k: int):
             if not len(b):
                 continue
             vec, of = b["vec"].to_numpy(), b["group"].to_numpy(object)
-            scores = np.round(q @ np.stack(b["v"].to_numpy()).astype(np.float64).T, 6)
-            allowed = (free[:, None] | (groups[:, None] == of[None, :])) & (ids[:, None] != vec[None, :])
-            scores[~allowed] = -np.inf
-            order = np.lexsort((np.broadcast_to(vec, scores.shape), -scores), axis=1)[:, :k]
-            picked = np.take_along_axis(scores, order, 1)
-            real = np.isfinite(picked)
-            yield pd.DataFrame({"query": np.repeat(ids, real.sum(1)), "vec": vec[order][real], "score": picked[real]})
+            v = np.stack(b["v"].to_numpy()).astype(np.float64).T
+            for lo in range(0, len(ids), TILE):
+                tile = slice(lo, lo + TILE)
+                scores = np.round(q[tile] @ v, 6)
+                scores[~((free[tile, None] | (groups[tile, None] == of[None, :])) & (ids[tile, None] != vec[None, :]))] = -np.inf
+                least = np.partition(scores, max(len(vec) - k, 0), axis=1)[:, max(len(vec) - k, 0)]
+                row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # the best k of each row and what ties with the last
+                yield pd.DataFrame({"query": ids[tile][row], "vec": vec[col], "score": scores[row, col]})
 
     return search
 

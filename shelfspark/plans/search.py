@@ -10,24 +10,38 @@ from shelfspark.operators import evaluation as E
 from shelfspark.operators import retrieval as R
 from shelfspark.operators.ranking import top_k
 from shelfspark.operators.spelling import corrections
-from shelfspark.plans.sqltext import sql_terms
+from shelfspark.plans.sqltext import sql_nfkc, sql_terms
+from shelfspark.session import cut
 from shelfspark.sources.tables import table
 
 
 def _index(spark: SparkSession, sf: str, field: str = "title") -> DataFrame:
-    return R.bm25_index(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col(field), False))
+    return R.bm25_index(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col(field)))
+
+
+def _analysed(spark: SparkSession, sf: str, field: str) -> DataFrame:
+    return R.analysed(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col(field)))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return R.query_terms(table(spark, sf, "queries"), "query_id", "locale", T.terms(F.col("query"), False))
+    return cut(R.query_terms(table(spark, sf, "queries"), "query_id", "locale", T.terms(F.col("query"))))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best titles of every query."""
-    best = R.bm25_topk(_index(spark, sf), _asked(spark, sf), 10)
+    best = R.bm25_topk(_analysed(spark, sf, "title"), _asked(spark, sf), 10)
     return best.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), "score", "n_matched", F.col("rk").cast("long").alias("rk"))
 
 
+def bm25_two_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best texts (title, brand, colour and bullets) of every query, with the score of their titles alone and the words met there."""
+    asked = _asked(spark, sf)
+    best = R.bm25_topk(_analysed(spark, sf, "doc_text"), asked, 10)
+    titles = R.bm25_pairs(_index(spark, sf), asked, best)
+    both = best.join(titles.select("query", "doc", F.col("score").alias("title"), "terms"), ["query", "doc"], "left")
+    return both.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("score").alias("bm25_text"), F.coalesce("title", F.lit(0.0)).alias("bm25_title"), F.coalesce(F.array_join("terms", " "), F.lit("")).alias("matched"), F.col("rk").cast("long").alias("rk"))
+
+
 def bm25_query_stats(spark: SparkSession, sf: str) -> DataFrame:
     """What a title can score at most for each query, and how many of its terms the titles know."""
     return R.max_scores(_index(spark, sf), _asked(spark, sf)).withColumnRenamed("query", "query_id")
@@ -35,21 +49,35 @@ def bm25_query_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency of every title term."""
-    posted = R.postings(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col("title"), False))
+    posted = R.postings(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col("title")))
     return posted.groupBy(F.col("group").alias("locale"), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
-def judged_bm25_features(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 score, share of known query terms and whether all are in the title, for every judged pair."""
-    index, asked = _index(spark, sf), _asked(spark, sf)
-    pairs = table(spark, sf, "judgments").select("query_id", "doc_id").distinct()
-    wanted = pairs.join(asked, F.col("query_id") == F.col("query")).select("query_id", "doc_id", "group", "term", "qtf")
-    hits = wanted.join(index.withColumnRenamed("doc", "doc_id"), ["group", "term", "doc_id"])
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("bm25_title"), F.count(F.lit(1)).alias("n_matched"))
-    known = R.max_scores(index, asked).withColumnRenamed("query", "query_id")
-    out = pairs.join(scored, ["query_id", "doc_id"], "left").join(known, "query_id", "left")
-    matched = F.coalesce("n_matched", F.lit(0))
-    return out.select("query_id", "doc_id", F.coalesce("bm25_title", F.lit(0.0)).alias("bm25_title"), F.round(F.coalesce(F.col("bm25_title") / F.col("max_score"), F.lit(0.0)), 6).alias("bm25_share"), F.round(F.coalesce(matched / F.col("n_known"), F.lit(0.0)), 6).alias("coverage"), F.coalesce(matched == F.col("n_known"), F.lit(False)).alias("all_terms"))
+def title_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The thousand most frequent terms of each locale that at least two titles have."""
+    some = term_statistics(spark, sf).where("df >= 2")
+    return top_k(some, ["locale"], [F.desc("df"), F.asc("term")], 1000).withColumn("rk", F.col("rk").cast("long"))
+
+
+def lexical_features(spark: SparkSession, sf: str) -> DataFrame:
+    """For every judged pair the scores of text and title, their shares of the most a document can have, the shares of known words met, and whether the title has all."""
+    asked = _asked(spark, sf)
+    pairs = table(spark, sf, "judgments").select(F.col("query_id").alias("query"), F.col("doc_id").alias("doc")).where("query IS NOT NULL AND doc IS NOT NULL").distinct()
+    pairs = cut(pairs.join(table(spark, sf, "queries").select(F.col("query_id").alias("query")), "query", "left_semi"))
+    out = pairs
+    for field, name in (("doc_text", "text"), ("title", "title")):
+        index = cut(_index(spark, sf, field))
+        scored = R.bm25_pairs(index, asked, pairs).drop("terms")
+        most = R.max_scores(index, asked)
+        out = out.join(scored, ["query", "doc"], "left").join(most, "query", "left")
+        score, met = F.coalesce("score", F.lit(0.0)), F.coalesce("n_matched", F.lit(0))
+        out = out.withColumn(f"bm25_{name}", score).withColumn(f"bm25_{name}_norm", F.round(F.coalesce(score / F.col("max_score"), F.lit(0.0)), 6))
+        out = out.withColumn(f"cov_{name}", F.round(F.coalesce(met / F.col("n_known"), F.lit(0.0)), 6)).withColumn(f"max_{name}", F.coalesce("max_score", F.lit(0.0)))
+        if name == "title":
+            out = out.withColumn("all_terms_title", F.coalesce(met == F.col("n_known"), F.lit(False)))
+        out = out.drop("score", "n_matched", "max_score", "n_known")
+    out = out.withColumnRenamed("max_text", "q_bm25_max").drop("max_title")
+    return out.withColumnRenamed("query", "query_id").withColumnRenamed("doc", "doc_id")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +204,7 @@ def ndcg_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def spelling_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Query words that are one slip away from a far more frequent title word."""
     vocabulary = term_statistics(spark, sf).groupBy("term").agg(F.sum("df").alias("df"))
-    words = table(spark, sf, "queries").select(F.explode(T.terms(F.col("query"), False)).alias("term")).distinct()
+    words = table(spark, sf, "queries").select(F.explode(T.terms(F.col("query"))).alias("term")).distinct()
     return corrections(words, vocabulary)
 
 
@@ -190,16 +218,29 @@ def autocomplete(spark: SparkSession, sf: str) -> DataFrame:
 _R = """r AS (SELECT request_id, query_id, doc_id, max(bm25_text::DOUBLE) AS bm25_text, max(vectors::DOUBLE) AS vectors,
   max(scores::DOUBLE) AS scores, max(served_by) AS served_by FROM search_response GROUP BY ALL)"""
 _J = """j AS (SELECT query_id, doc_id, max(gain) AS gain, min(esci_label) AS esci_label FROM judgments WHERE gain IS NOT NULL GROUP BY ALL)"""
-_I = f"""docs AS (SELECT locale AS g, doc_id AS doc, {sql_terms('title')} AS t FROM catalog),
-tot AS (SELECT g, count(*) AS n, avg(len(t)) AS avgdl FROM docs GROUP BY g),
-post AS (SELECT g, doc, len(t) AS dl, unnest(t) AS term FROM docs),
-tf AS (SELECT g, doc, dl, term, count(*) AS tf FROM post GROUP BY ALL),
-df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL),
-ix AS (SELECT tf.g, tf.term, doc, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf,
+def _sql_index(field: str, n: str = "") -> str:
+    """The index of a field and the queries' terms, as common table expressions with the suffix ``n``."""
+    return f"""docs{n} AS MATERIALIZED (SELECT locale AS g, doc_id AS doc, {sql_terms(field)} AS t FROM catalog),
+tot{n} AS (SELECT g, count(*) AS n, avg(len(t)) AS avgdl FROM docs{n} GROUP BY g),
+post{n} AS (SELECT g, doc, len(t) AS dl, unnest(t) AS term FROM docs{n}),
+tf{n} AS MATERIALIZED (SELECT g, doc, dl, term, count(*) AS tf FROM post{n} GROUP BY ALL),
+df{n} AS MATERIALIZED (SELECT g, term, count(*) AS df FROM tf{n} GROUP BY ALL),
+ix{n} AS MATERIALIZED (SELECT tf.g, tf.term, doc, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf,
   ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w
-  FROM tf JOIN df ON df.g = tf.g AND df.term = tf.term JOIN tot ON tot.g = tf.g),
-qt AS (SELECT query_id AS q, locale AS g, unnest({sql_terms('query')}) AS term FROM queries),
-qf AS (SELECT q, g, term, count(*) AS qtf FROM qt GROUP BY ALL)"""
+  FROM tf{n} tf JOIN df{n} df ON df.g = tf.g AND df.term = tf.term JOIN tot{n} tot ON tot.g = tf.g)"""
+
+
+_QF = f"""qt AS (SELECT query_id AS q, locale AS g, unnest({sql_terms('query')}) AS term FROM queries),
+qf AS MATERIALIZED (SELECT q, g, term, count(*) AS qtf FROM qt GROUP BY ALL)"""
+_I = f"{_sql_index('title')}, {_QF}"
+_LEXICAL = f"""{_I}, {_sql_index('doc_text', '2')}, p AS (SELECT DISTINCT query_id, doc_id FROM judgments WHERE doc_id IS NOT NULL AND query_id IN (SELECT query_id FROM queries)),
+  """ + ", ".join(
+    f"""mx{n} AS (SELECT q, round(sum(idf * 2.2 * qtf), 6) AS mx, count(*) AS known FROM qf JOIN (SELECT DISTINCT g, term, idf FROM ix{n}) USING (g, term) GROUP BY q),
+  h{n} AS (SELECT query_id, doc_id, round(sum(w * qtf), 6) AS s, count(*) AS n FROM p JOIN qf ON q = query_id JOIN ix{n} ix ON ix.g = qf.g AND ix.term = qf.term AND doc = doc_id GROUP BY ALL)"""
+    for n in ("", "2")
+) + """, lex AS (SELECT p.query_id, p.doc_id, coalesce(h2.s, 0) AS bm25_text, round(coalesce(coalesce(h2.s, 0) / mx2.mx, 0), 6) AS bm25_text_norm, round(coalesce(coalesce(h2.n, 0) / mx2.known, 0), 6) AS cov_text, coalesce(mx2.mx, 0) AS q_bm25_max,
+    coalesce(h.s, 0) AS bm25_title, round(coalesce(coalesce(h.s, 0) / mx.mx, 0), 6) AS bm25_title_norm, round(coalesce(coalesce(h.n, 0) / mx.known, 0), 6) AS cov_title, coalesce(coalesce(h.n, 0) = mx.known, false) AS all_terms_title
+    FROM p LEFT JOIN h ON h.query_id = p.query_id AND h.doc_id = p.doc_id LEFT JOIN mx ON mx.q = p.query_id LEFT JOIN h2 ON h2.query_id = p.query_id AND h2.doc_id = p.doc_id LEFT JOIN mx2 ON mx2.q = p.query_id)"""
 _RANK = "s AS (SELECT request_id, query_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY {c} DESC, doc_id) AS rk FROM r WHERE {c} IS NOT NULL)"
 _IDEAL = """b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS k FROM j),
 i AS (SELECT query_id, sum(CASE WHEN k <= 10 THEN gain / log2(k + 1) ELSE 0 END) AS i10, sum(CASE WHEN k <= 5 THEN gain / log2(k + 1) ELSE 0 END) AS i5,
@@ -215,7 +256,7 @@ v AS (SELECT request_id, query_id, round(CASE WHEN i10 > 0 THEN c / i10 END, 6)
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_query_stats, term_statistics, judged_bm25_features, knn_exact, knn_filtered, knn_ivf, vector_norms, rrf_fusion, z_fusion,
+        bm25_topk, bm25_two_fields, bm25_query_stats, term_statistics, title_vocabulary, lexical_features, knn_exact, knn_filtered, knn_ivf, vector_norms, rrf_fusion, z_fusion,
         rescued_requests, served_fallback, ndcg_rerank, ndcg_retrieval, ndcg_by_slice, paired_methods, ndcg_bootstrap, spelling_corrections, autocomplete,
     )
 }
@@ -225,11 +266,12 @@ SQL = {
     "bm25_query_stats": f"""WITH {_I} SELECT q AS query_id, round(sum(idf * 2.2 * qtf), 6) AS max_score, count(*) AS n_known
       FROM qf JOIN (SELECT DISTINCT g, term, idf FROM ix) USING (g, term) GROUP BY q""",
     "term_statistics": f"WITH {_I} SELECT g AS locale, term, count(*) AS df, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL",
-    "judged_bm25_features": f"""WITH {_I}, p AS (SELECT DISTINCT query_id, doc_id FROM judgments),
-      mx AS (SELECT q, sum(idf * 2.2 * qtf) AS mx, count(*) AS known FROM qf JOIN (SELECT DISTINCT g, term, idf FROM ix) USING (g, term) GROUP BY q),
-      h AS (SELECT query_id, doc_id, round(sum(w * qtf), 6) AS s, count(*) AS n FROM p JOIN qf ON q = query_id JOIN ix ON ix.g = qf.g AND ix.term = qf.term AND doc = doc_id GROUP BY ALL)
-      SELECT p.query_id, p.doc_id, coalesce(s, 0) AS bm25_title, round(coalesce(s / round(mx, 6), 0), 6) AS bm25_share, round(coalesce(coalesce(n, 0) / known, 0), 6) AS coverage, coalesce(coalesce(n, 0) = known, false) AS all_terms
-      FROM p LEFT JOIN h USING (query_id, doc_id) LEFT JOIN mx ON mx.q = p.query_id""",
+    "title_vocabulary": f"WITH {_I} SELECT *, row_number() OVER (PARTITION BY locale ORDER BY df DESC, term) AS rk FROM (SELECT g AS locale, term, count(*) AS df, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL HAVING count(*) >= 2) QUALIFY rk <= 1000",
+    "lexical_features": f"WITH {_LEXICAL} SELECT * FROM lex",
+    "bm25_two_fields": f"""WITH {_I}, {_sql_index('doc_text', '2')}, s AS (SELECT q, doc, round(sum(w * qtf), 6) AS score FROM qf JOIN ix2 USING (g, term) GROUP BY ALL),
+      b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rk FROM s QUALIFY rk <= 10),
+      t AS (SELECT b.q, b.doc, round(sum(w * qtf), 6) AS s, string_agg(qf.term, ' ' ORDER BY qf.term) AS m FROM b JOIN qf ON qf.q = b.q JOIN ix ON ix.g = qf.g AND ix.term = qf.term AND ix.doc = b.doc GROUP BY ALL)
+      SELECT q AS query_id, doc AS doc_id, score AS bm25_text, coalesce(s, 0) AS bm25_title, coalesce(m, '') AS matched, rk FROM b LEFT JOIN t USING (q, doc)""",
     "spelling_corrections": f"""WITH {_I}, v AS (SELECT term, sum(df)::BIGINT AS df FROM df GROUP BY 1),
       s AS (SELECT term, coalesce(df, 0) AS n0 FROM (SELECT DISTINCT term FROM qf) LEFT JOIN v USING (term) WHERE regexp_matches(term, '^[a-zß-˿]+$') AND length(term) >= 4),
       d AS (SELECT *, CASE WHEN n0 < 3 THEN 20 * greatest(n0, 1) WHEN n0 <= 50 THEN 200 * n0 END AS need FROM s),

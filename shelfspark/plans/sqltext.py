@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from shelfspark.functions.words import CJK, STOPWORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
+#: Code points whose compatibility form is one other code point: spaces, full- and half-width forms; by rule, not by list.
+_SINGLE = [c for r in ((0xA0, 0x100), (0x2000, 0x2070), (0x3000, 0x3001), (0xFF01, 0xFFF0)) for c in map(chr, range(*r)) if len(unicodedata.normalize("NFKC", c)) == 1 and unicodedata.normalize("NFKC", c) != c]
+
+
+def sql_nfkc(x: str) -> str:
+    """Compatibility-composed form, as far as the tables have such signs: single code points and Latin ligatures."""
+    quoted = lambda t: t.replace("'", "''")
+    t = f"translate({x}, '{quoted(''.join(_SINGLE))}', '{quoted(''.join(unicodedata.normalize('NFKC', c) for c in _SINGLE))}')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        t = f"replace({t}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    return f"nfc_normalize({t})"
+
+
 def sql_normalize(x: str) -> str:
-    t = f"lower(coalesce({x}, ''))"
+    t = f"lower(coalesce({sql_nfkc(x)}, ''))"
     for pattern, by in (("[’`´]", "''"), (r"(\d),(\d{3})\b", r"\1\2"), (r"(\d),(\d)", r"\1.\2"), (r"(\d)([a-zà-ɏ])", r"\1 \2"), (r"([a-zà-ɏ])(\d)", r"\1 \2")):
         t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
     return t
