@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators.sizing import lookup
 from shelfspark.session import cut
 
 
@@ -38,6 +39,6 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str, par
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lookup(ranged.withColumn("_own", own), cut(starts), ["_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
