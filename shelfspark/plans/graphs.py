@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions import draws as D
 from shelfspark.operators import graph as G
 from shelfspark.operators import simulation as S
 from shelfspark.operators.evaluation import uniform
@@ -73,18 +74,56 @@ def session_steps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.row_number().over(own).cast("long").alias("seq"), F.lag("event_id").over(own).alias("prev_event_id"))
 
 
-def replay_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of query texts, a third of them varied: words swapped, dropped or set in capitals."""
-    q = table(spark, sf, "queries").select("query_id", "query")
+_MODIFIER = {"us": "cheap", "es": "barato", "jp": "安い"}
+
+
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "queries").select("query_id", "query", "locale")
     u = uniform("query_id", F.lit("variant"))
     words = F.split(F.trim(F.regexp_replace("query", " +", " ")), " ")
     many = F.size(words) > 1
     swapped = F.array_join(F.concat(F.slice(words, 2, F.size(words)), F.slice(words, 1, 1)), " ")
     dropped = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " ")
-    kind = F.when(u < 0.12, "case_space").when((u < 0.24) & many, "reorder").when((u < 0.35) & many, "token_drop").otherwise("none")
+    first = F.get(words, 0)
+    mistyped = F.array_join(F.concat(F.array(D.typo(first, uniform("query_id", F.lit("typo")), uniform("query_id", F.lit("place")))), F.slice(words, 2, F.size(words))), " ")
+    modified = F.concat_ws(" ", "query", F.coalesce(*[F.when(F.col("locale") == k, F.lit(v)) for k, v in _MODIFIER.items()]))
+    kind = F.when(u < 0.12, "case_space").when(u < 0.24, F.when(many, "reorder").otherwise("typo")).when(u < 0.36, F.when(many, "token_drop").otherwise("typo")).when(u < 0.48, "typo").when(u < 0.55, "modifier").otherwise("none")
     rows = q.withColumn("variant", kind)
-    text = F.when(F.col("variant") == "case_space", F.upper("query")).when(F.col("variant") == "reorder", swapped).when(F.col("variant") == "token_drop", dropped).otherwise(F.col("query"))
-    return rows.select("query_id", "variant", text.alias("text"))
+    text = F.coalesce(*[F.when(F.col("variant") == k, t) for k, t in (("case_space", F.upper("query")), ("reorder", swapped), ("token_drop", dropped), ("typo", mistyped), ("modifier", modified))], F.col("query"))
+    return rows.select("query_id", "locale", "variant", text.alias("text"), "query")
+
+
+def replay_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of query texts, half of them varied: set in capitals, words swapped or dropped, mistyped, with a modifier; times spread over a day."""
+    at = F.floor(uniform("query_id", F.lit("time")) * 86400).cast("long")
+    return _variants(spark, sf).select("query_id", "variant", "text", at.alias("second_of_day"))
+
+
+def _shown_now(spark: SparkSession, sf: str) -> DataFrame:
+    return S.impressions(_ranks(_responses(spark, sf), "scores"), _judged(spark, sf))
+
+
+def ctr_by_label(spark: SparkSession, sf: str) -> DataFrame:
+    """Click rate by label: impressions, the query's table and the judgments met."""
+    shown = _shown_now(spark, sf).join(table(spark, sf, "queries").select("query_id", "locale"), "query_id")
+    labels = _judged(spark, sf).select("query_id", "doc_id", "esci_label")
+    return shown.join(labels, ["query_id", "doc_id"]).groupBy("locale", "esci_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("clicked").cast("double")), 6).alias("ctr"))
+
+
+def first_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """The first position clicked in each request that has a click, and the clicks behind it."""
+    return _shown_now(spark, sf).where("clicked").groupBy("request_id").agg(F.min("position").cast("long").alias("first_click"), F.count(F.lit(1)).alias("clicks"))
+
+
+def noisy_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The logging policy: candidates of each request ranked by their score with Gumbel noise; in a twentieth of the requests the first ten are shuffled."""
+    u = uniform("request_id", "doc_id", F.lit("noise"))
+    noisy = F.round(F.col("scores") - 0.2 * F.ln(-F.ln(F.greatest(u, F.lit(1e-9)))), 9)
+    rows = _responses(spark, sf).where("scores IS NOT NULL AND abs(scores) < 1e9").select("request_id", "doc_id", noisy.alias("s"))
+    own = Window.partitionBy("request_id").orderBy(F.desc("s"), F.asc("doc_id"))
+    explore = uniform("request_id", F.lit("explore")) < S.EXPLORE
+    rows = rows.withColumn("at", F.row_number().over(own)).withColumn("shuffled", F.when(explore & (F.col("at") <= 10), uniform("request_id", "doc_id", F.lit("shuffle"))).otherwise(F.col("at").cast("double")))
+    return rows.withColumn("rk", F.row_number().over(Window.partitionBy("request_id").orderBy("shuffled", "doc_id")).cast("long")).where("rk <= 20").select("request_id", "doc_id", "rk")
 
 
 def stream_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,11 +133,15 @@ def stream_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def simulated_ab(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks per request of the text and the vector ranking under common random numbers."""
+    """Clicks, carts and purchases per request of the text and the vector ranking under common random numbers, unjudged documents taken as I, C or S."""
     rows, judged = _responses(spark, sf), _judged(spark, sf)
-    arms = [S.impressions(_ranks(rows, s), judged).withColumn("arm", F.lit(s)) for s in ("bm25_text", "vectors")]
-    per = arms[0].unionByName(arms[1]).groupBy("arm", "request_id").agg(F.sum(F.col("clicked").cast("int")).alias("c"), F.max(F.col("carted").cast("int")).alias("b"))
-    return per.groupBy("arm").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.avg("c"), 6).alias("clicks"), F.round(F.avg(F.col("b").cast("double")), 6).alias("carted"))
+    arms = None
+    for s in ("bm25_text", "vectors"):
+        for taken in "ICS":
+            one = S.impressions(_ranks(rows, s), judged, taken).withColumn("arm", F.lit(s)).withColumn("unjudged_as", F.lit(taken))
+            arms = one if arms is None else arms.unionByName(one)
+    per = arms.groupBy("arm", "unjudged_as", "request_id").agg(F.sum(F.col("clicked").cast("int")).alias("c"), *[F.max(F.col(x).cast("int")).alias(x) for x in ("carted", "bought")])
+    return per.groupBy("arm", "unjudged_as").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.avg("c"), 6).alias("clicks"), *[F.round(F.avg(F.col(x).cast("double")), 6).alias(x) for x in ("carted", "bought")])
 
 
 _RR = "r AS (SELECT request_id, query_id, doc_id, max(bm25_text::DOUBLE) AS bm25_text, max(vectors::DOUBLE) AS vectors, max(scores::DOUBLE) AS scores FROM search_response GROUP BY ALL)"
@@ -106,15 +149,29 @@ _JJ = "j AS (SELECT query_id, doc_id, max(gain) AS gain, min(esci_label) AS esci
 _U = "(('0x' || left(md5(concat_ws('|', {0})), 8))::BIGINT::DOUBLE / 4294967296.0)"
 
 
-def _shown(score: str, tail: str = "") -> str:
+def _shown(score: str, tail: str = "", unjudged: str = "I") -> str:
     u = lambda what: _U.format(f"request_id::VARCHAR, doc_id, '{what}'")
-    a = "CASE coalesce(esci_label, 'I') WHEN 'E' THEN 0.75 WHEN 'S' THEN 0.35 WHEN 'C' THEN 0.15 ELSE 0.05 END"
-    c = "CASE coalesce(esci_label, 'I') WHEN 'E' THEN 0.45 WHEN 'S' THEN 0.25 WHEN 'C' THEN 0.1 ELSE 0.02 END"
+    of = lambda t: "CASE l " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in t.items()) + f" ELSE {t['I']}::DOUBLE END"
+    w = f"greatest(least({u('dwell')}, 0.999999::DOUBLE), 0.000001::DOUBLE)"
     return f"""s{tail} AS (SELECT request_id, query_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY {score} DESC, doc_id) AS rk FROM r WHERE {score} IS NOT NULL),
-      m{tail} AS (SELECT s.request_id, s.query_id, s.doc_id, rk AS position, 1.0::DOUBLE / rk AS p, {u('exam')} < 1.0::DOUBLE / rk AND {u('click')} < {a} AS clicked, {u('cart')} < {c} AS c0 FROM s{tail} s LEFT JOIN j USING (query_id, doc_id)),
-      i{tail} AS (SELECT *, clicked AND c0 AS carted FROM m{tail})"""
+      l{tail} AS (SELECT s.*, coalesce(esci_label, '{unjudged}') AS l FROM s{tail} s LEFT JOIN j USING (query_id, doc_id)),
+      m{tail} AS (SELECT request_id, query_id, doc_id, l, rk AS position, 1.0::DOUBLE / rk AS p, {u('exam')} < 1.0::DOUBLE / rk AS examined, {u('click')} < {of(S.ATTRACTION)} AS k0, {u('cart')} < {of(S.CART)} AS c0, {u('buy')} < {of(S.BUY)} AS b0,
+        exp({of(S.DWELL)} + 0.8::DOUBLE * ln({w} / (1 - {w})) / 1.702::DOUBLE) AS d0, {u('said')} < {S.SAID} AS s0, ({u('agree')} < {S.AGREED}) = (l IN ('E', 'S')) AS a0, {_U.format("request_id::VARCHAR, 'explore'")} < {S.EXPLORE} AS explore FROM l{tail}),
+      i{tail} AS (SELECT request_id, query_id, doc_id, l, position, p, explore, examined AND k0 AS clicked, examined AND k0 AND c0 AS carted, examined AND k0 AND c0 AND b0 AS bought, CASE WHEN examined AND k0 THEN d0 END AS dwell,
+        CASE WHEN examined AND s0 THEN CASE WHEN a0 THEN 1 ELSE -1 END ELSE 0 END AS thumb FROM m{tail})"""
+
+
+def _sql_typo(word: str, kind: str, place: str) -> str:
+    i = f"(floor({place} * (length({word}) - 2)) + 2)::INT"
+    head, here, tail = f"left({word}, {i} - 1)", f"substr({word}, {i}, 1)", f"substr({word}, {i} + 1)"
+    return f"CASE WHEN length({word}) < 4 THEN {word} WHEN {kind} < 1.0::DOUBLE / 3 THEN {head} || substr({word}, {i} + 1, 1) || {here} || substr({word}, {i} + 2) WHEN {kind} < 2.0::DOUBLE / 3 THEN {head} || {tail} ELSE {head} || {here} || {here} || {tail} END"
 
 
+_u_query = lambda what: _U.format(f"query_id::VARCHAR, '{what}'")
+_SQL_VARIANTS = f"""va AS (SELECT query_id, query, locale, {_u_query('variant')} AS u, string_split(trim(regexp_replace(query, ' +', ' ', 'g'), ' '), ' ') AS w FROM queries),
+      vb AS (SELECT *, CASE WHEN u < 0.12 THEN 'case_space' WHEN u < 0.24 THEN CASE WHEN len(w) > 1 THEN 'reorder' ELSE 'typo' END WHEN u < 0.36 THEN CASE WHEN len(w) > 1 THEN 'token_drop' ELSE 'typo' END WHEN u < 0.48 THEN 'typo' WHEN u < 0.55 THEN 'modifier' ELSE 'none' END AS variant FROM va),
+      variants AS (SELECT query_id, locale, variant, CASE variant WHEN 'case_space' THEN upper(query) WHEN 'reorder' THEN array_to_string(list_concat(w[2:], w[1:1]), ' ') WHEN 'token_drop' THEN array_to_string(w[1:len(w) - 1], ' ')
+        WHEN 'typo' THEN array_to_string(list_concat([{_sql_typo('w[1]', _u_query('typo'), _u_query('place'))}], w[2:]), ' ') WHEN 'modifier' THEN query || ' ' || CASE locale WHEN 'us' THEN 'cheap' WHEN 'es' THEN 'barato' ELSE '安い' END ELSE query END AS text, query FROM vb)"""
 _EDGES = """g AS (SELECT DISTINCT * FROM jj), e AS (SELECT query_id, doc_id FROM g WHERE esci_label = 'E' AND rk <= 25), o AS (SELECT query_id, doc_id, esci_label FROM g WHERE esci_label IN ('S', 'C')),
   p AS (SELECT a.doc_id AS src_doc, b.doc_id AS dst_doc, 'co_exact' AS relation, a.query_id FROM e a JOIN e b ON a.query_id = b.query_id AND a.doc_id < b.doc_id
     UNION ALL SELECT e.doc_id, o.doc_id, CASE esci_label WHEN 'S' THEN 'substitute' ELSE 'complement' END, query_id FROM e JOIN o USING (query_id)),
@@ -123,7 +180,7 @@ _EDGES = """g AS (SELECT DISTINCT * FROM jj), e AS (SELECT query_id, doc_id FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        product_edges, category_complements, related_queries, co_purchase_edges, neighbour_products, simulated_impressions, ips_feedback, query_popularity,
+        product_edges, category_complements, related_queries, co_purchase_edges, neighbour_products, simulated_impressions, ips_feedback, ctr_by_label, first_clicks, noisy_ranks, query_popularity,
         event_sessions, session_steps, replay_variants, stream_hit_rate, simulated_ab,
     )
 }
@@ -140,8 +197,15 @@ SQL = {
       GROUP BY ALL HAVING count(*) >= 2""",
     "neighbour_products": f"WITH {_EDGES} SELECT src_doc, dst_doc, support, row_number() OVER (PARTITION BY src_doc ORDER BY support DESC, dst_doc) AS rk FROM ed WHERE relation = 'substitute' QUALIFY rk <= 8",
     "simulated_impressions": f"WITH {_RR}, {_JJ}, {_shown('scores')} SELECT position, count(*) AS n, count(*) FILTER (WHERE clicked) AS clicks, count(*) FILTER (WHERE carted) AS carts FROM i GROUP BY 1",
-    "ips_feedback": f"""WITH {_RR}, {_JJ}, {_shown('scores')} SELECT query_id, doc_id, count(*) AS impressions, count(*) FILTER (WHERE clicked) AS clicks, count(*) FILTER (WHERE carted) AS carts,
-      round(sum(clicked::INT / p), 5) AS ips_clicks, round(sum(1.0::DOUBLE / p), 5) AS ips_impressions, min(position) AS best_position FROM i GROUP BY ALL""",
+    "ips_feedback": f"""WITH {_RR}, {_JJ}, {_shown('scores')} SELECT query_id, doc_id, count(*) AS impressions, count(*) FILTER (WHERE clicked) AS clicks, count(*) FILTER (WHERE carted) AS carts, count(*) FILTER (WHERE bought) AS purchases,
+      round(sum(clicked::INT / p), 5) AS ips_clicks, round(sum(1.0::DOUBLE / p), 5) AS ips_impressions, count(*) FILTER (WHERE explore) AS explore_impressions, count(*) FILTER (WHERE explore AND clicked) AS explore_clicks, round(avg(position), 6) AS avg_position,
+      count(*) FILTER (WHERE thumb = 1) AS thumbs_up, count(*) FILTER (WHERE thumb = -1) AS thumbs_down, round(avg(dwell), 4) AS avg_dwell, min(position) AS best_position FROM i GROUP BY ALL""",
+    "ctr_by_label": f"""WITH {_RR}, {_JJ}, {_shown('scores')} SELECT locale, esci_label, count(*) AS n, round(avg(clicked::INT::DOUBLE), 6) AS ctr FROM i JOIN queries USING (query_id) JOIN j USING (query_id, doc_id) GROUP BY ALL""",
+    "first_clicks": f"WITH {_RR}, {_JJ}, {_shown('scores')} SELECT request_id, min(position) AS first_click, count(*) AS clicks FROM i WHERE clicked GROUP BY 1",
+    "noisy_ranks": f"""WITH {_RR}, a AS (SELECT request_id, doc_id, round(scores - 0.2::DOUBLE * ln(-ln(greatest({_U.format("request_id::VARCHAR, doc_id, 'noise'")}, 1e-9))), 9) AS s FROM r WHERE scores IS NOT NULL AND abs(scores) < 1e9),
+      b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, doc_id) AS k FROM a),
+      c AS (SELECT *, CASE WHEN k <= 10 AND {_U.format("request_id::VARCHAR, 'explore'")} < {S.EXPLORE} THEN {_U.format("request_id::VARCHAR, doc_id, 'shuffle'")} ELSE k::DOUBLE END AS o FROM b)
+      SELECT request_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY o, doc_id) AS rk FROM c QUALIFY rk <= 20""",
     "query_popularity": """WITH a AS (SELECT query_id, row_number() OVER (ORDER BY n_e DESC, query_id) AS pop_rank FROM queries), b AS (SELECT *, power(pop_rank::DOUBLE, -0.8) / sum(power(pop_rank::DOUBLE, -0.8)) OVER () AS s FROM a),
       c AS (SELECT *, round(coalesce(sum(s) OVER (ORDER BY pop_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS b FROM b)
       SELECT query_id, pop_rank, round(s, 9) AS traffic_share, CASE WHEN b < 0.3 THEN 'head' WHEN b < 0.7 THEN 'torso' ELSE 'tail' END AS traffic_bucket FROM c""",
@@ -149,11 +213,11 @@ SQL = {
       b AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM a)
       SELECT user_id, session, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY ALL""",
     "session_steps": "SELECT event_id, row_number() OVER w AS seq, lag(event_id) OVER w AS prev_event_id FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)",
-    "replay_variants": f"""WITH a AS (SELECT query_id, query, {_U.format("query_id::VARCHAR, 'variant'")} AS u, string_split(trim(regexp_replace(query, ' +', ' ', 'g'), ' '), ' ') AS w FROM queries),
-      b AS (SELECT *, CASE WHEN u < 0.12 THEN 'case_space' WHEN u < 0.24 AND len(w) > 1 THEN 'reorder' WHEN u < 0.35 AND len(w) > 1 THEN 'token_drop' ELSE 'none' END AS variant FROM a)
-      SELECT query_id, variant, CASE variant WHEN 'case_space' THEN upper(query) WHEN 'reorder' THEN array_to_string(list_concat(w[2:], w[1:1]), ' ') WHEN 'token_drop' THEN array_to_string(w[1:len(w) - 1], ' ') ELSE query END AS text FROM b""",
+    "replay_variants": f"WITH {_SQL_VARIANTS} SELECT query_id, variant, text, floor({_U.format(chr(34) + 'query_id' + chr(34) + '::VARCHAR, ' + chr(39) + 'time' + chr(39))} * 86400)::BIGINT AS second_of_day FROM variants",
     "stream_hit_rate": """WITH a AS (SELECT DISTINCT request_id, query_id, served_by, locale FROM search_response)
       SELECT locale, count(*) AS n, round(1 - count(DISTINCT query_id) / count(*), 6) AS hit_query, round(1 - count(DISTINCT (query_id, served_by)) / count(*), 6) AS hit_query_method FROM a GROUP BY 1""",
-    "simulated_ab": f"""WITH {_RR}, {_JJ}, {_shown('bm25_text')}, {_shown('vectors', '2')}, u AS (SELECT 'bm25_text' AS arm, * FROM i UNION ALL SELECT 'vectors', * FROM i2),
-      p AS (SELECT arm, request_id, count(*) FILTER (WHERE clicked) AS c, max(carted::INT) AS b FROM u GROUP BY ALL) SELECT arm, count(*) AS n_requests, round(avg(c), 6) AS clicks, round(avg(b::DOUBLE), 6) AS carted FROM p GROUP BY 1""",
+    "simulated_ab": f"WITH {_RR}, {_JJ}, " + ", ".join(_shown(a, f"_{a}_{x}", x) for a in ("bm25_text", "vectors") for x in "ICS")
+    + ", u AS (" + " UNION ALL ".join(f"SELECT '{a}' AS arm, '{x}' AS unjudged_as, * FROM i_{a}_{x}" for a in ("bm25_text", "vectors") for x in "ICS")
+    + """), p AS (SELECT arm, unjudged_as, request_id, count(*) FILTER (WHERE clicked) AS c, max(carted::INT) AS carted, max(bought::INT) AS bought FROM u GROUP BY ALL)
+      SELECT arm, unjudged_as, count(*) AS n_requests, round(avg(c), 6) AS clicks, round(avg(carted::DOUBLE), 6) AS carted, round(avg(bought::DOUBLE), 6) AS bought FROM p GROUP BY ALL""",
 }

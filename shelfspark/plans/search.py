@@ -144,8 +144,8 @@ def z_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rescued_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests no keyword hit answers, with their vector candidates (semantic rescue)."""
-    rows = _responses(spark, sf)
+    """Requests no keyword hit answers, with their vector candidates (semantic rescue); a tenth of the requests, by hash, lose theirs to an outage."""
+    rows = _responses(spark, sf).withColumn("bm25_text", F.when(E.uniform("request_id", F.lit("outage")) >= 0.1, F.col("bm25_text")))
     hits = rows.where(F.col("bm25_text") > 0).select("request_id").distinct()
     return rows.join(hits, "request_id", "left_anti").where(F.col("vectors").isNotNull()).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max_by("doc_id", F.struct("vectors", "doc_id")).alias("best_doc"))
 
@@ -297,7 +297,7 @@ SQL = {
         + 0.65::DOUBLE * coalesce(CASE WHEN count(b) OVER w >= 2 AND stddev_pop(b) OVER w > 1e-9 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0 END, 0), 6) AS fused FROM c WINDOW w AS (PARTITION BY request_id))
       SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY fused DESC, doc_id) AS rk FROM z QUALIFY rk <= 10""",
     "rescued_requests": f"""WITH {_R} SELECT request_id, count(*) AS n_candidates, arg_max(doc_id, (vectors, doc_id)) AS best_doc FROM r
-      WHERE vectors IS NOT NULL AND request_id NOT IN (SELECT request_id FROM r WHERE bm25_text > 0) GROUP BY request_id""",
+      WHERE vectors IS NOT NULL AND request_id NOT IN (SELECT request_id FROM r WHERE bm25_text > 0 AND ('0x' || left(md5(concat_ws('|', request_id::VARCHAR, 'outage')), 8))::BIGINT::DOUBLE / 4294967296.0 >= 0.1) GROUP BY request_id""",
     "served_fallback": f"""WITH {_R}, p AS (SELECT request_id, served_by, count(bm25_text) AS t, count(vectors) AS v, count(scores) AS s FROM r GROUP BY ALL)
       SELECT served_by, CASE WHEN s > 0 THEN 'full' WHEN t > 0 AND v > 0 THEN 'hybrid' WHEN t > 0 THEN 'text' ELSE 'vectors' END AS level, count(*) AS n_requests FROM p GROUP BY ALL""",
     "ndcg_rerank": f"""WITH {_R}, {_J}, {_RANK.format(c='scores')}, {_IDEAL},
