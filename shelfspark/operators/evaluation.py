@@ -69,16 +69,29 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson_one(u: Column) -> Column:
-    """A Poisson(1) count from a uniform number."""
-    steps, p, total = F.lit(0), 0.36787944117144233, 0.0
+def poisson_steps() -> list[float]:
+    """The cumulated probabilities of a Poisson(1) count."""
+    p, total, steps = 0.36787944117144233, 0.0, []
     for k in range(12):
         total += p
-        steps = steps + (u >= total).cast("int")
+        steps.append(total)
         p /= k + 1
     return steps
 
 
+def poisson_one(u: Column) -> Column:
+    """A Poisson(1) count from a uniform number."""
+    return sum(((u >= t).cast("int") for t in poisson_steps()), F.lit(0))
+
+
+def paired_interval(pairs: DataFrame, key: str, groups: list[str], difference: str, draws: int = 200) -> DataFrame:
+    """``delta`` (mean difference), ``n``, ``lo``, ``hi`` (95 %) and ``p``, the share of draws at or below nought, by Poisson resampling of pairs."""
+    drawn = pairs.where(F.col(difference).isNotNull()).select(*groups, key, difference, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", poisson_one(uniform(key, "draw")))
+    means = drawn.groupBy(*groups, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col(difference)), F.sum("w")).alias("m")).where("m IS NOT NULL")
+    bounds = means.groupBy(*groups).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"), F.round(F.avg((F.col("m") <= 0).cast("int")), 6).alias("p"))
+    return pairs.groupBy(*groups).agg(F.round(F.avg(difference), 6).alias("delta"), F.count(difference).alias("n")).join(bounds, groups)
+
+
 def bootstrap(values: DataFrame, key: str, groups: list[str], value: str, draws: int = 200) -> DataFrame:
     """Mean and 95 % interval of a value per group, by Poisson resampling: each draw is a weighted sum, so the
     rows are read once and combined before the shuffle."""

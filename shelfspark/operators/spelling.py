@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import damerau_one, deletes
+from shelfspark.functions.text import damerau_one, deletes, stem
+from shelfspark.functions.words import STOPWORDS
+from shelfspark.operators.sizing import lookup
+from shelfspark.session import cut
 
 MIN_DF, MAX_DF, MIN_RATIO, RARE_DF, STRONG_RATIO = 5, 3, 20, 50, 200
 
@@ -30,3 +33,26 @@ def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     near = met.where(damerau_one(F.col("term"), F.col("suggestion")))
     best = near.groupBy("term", "n0").agg(F.min(F.struct((-F.col("n")).alias("m"), "suggestion")).alias("b"))
     return best.select("term", F.col("n0").cast("long").alias("n0"), "b.suggestion", (-F.col("b.m")).cast("long").alias("n"))
+
+
+def correct(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Texts with the corrections of their words: ``key``, ``text``, ``expanded``, ``replaced``, ``changes``.
+
+    ``texts`` are in normal form with single spaces. A word is tried as it stands and as its stem, since folding plurals can
+    garble a slip, and the more frequent suggestion is taken; stop words, words of ``protected`` (``term``) and words frequent
+    enough stay. ``expanded`` keeps the word and adds the suggestion, ``replaced`` has it instead. Null and empty texts stay.
+    """
+    words = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, " ")).alias("at", "raw")).withColumn("st", stem(F.col("raw")))
+    words = cut(words)
+    fixes = corrections(words.select(F.col("raw").alias("term")).union(words.select("st")), vocabulary)
+    if protected is not None:
+        fixes = lookup(fixes, protected, ["term"], "left_anti")
+    fixes = cut(fixes.select("term", "suggestion", "n"))
+    frequent = cut(vocabulary.where(F.col("df") > RARE_DF).select(F.col("term").alias("st")))
+    tried = lookup(words.where(~F.col("st").isin(*STOPWORDS)), frequent, ["st"], "left_anti")
+    both = tried.select(key, "at", "st", F.explode(F.array_distinct(F.array("raw", "st"))).alias("term"))
+    best = lookup(both, fixes, ["term"]).where(F.col("suggestion") != F.col("st")).groupBy(key, "at").agg(F.min(F.struct((-F.col("n")).alias("m"), "suggestion")).alias("b")).select(key, "at", F.col("b.suggestion").alias("s"))
+    made = words.join(best, [key, "at"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "raw", "s"))).alias("x"))
+    one = lambda f: F.array_join(F.transform("x", f), " ")
+    out = made.select(key, one(lambda x: x["raw"]).alias(text), one(lambda x: F.when(x["s"].isNotNull(), F.concat(x["raw"], F.lit(" "), x["s"])).otherwise(x["raw"])).alias("expanded"), one(lambda x: F.coalesce(x["s"], x["raw"])).alias("replaced"), F.size(F.filter("x", lambda x: x["s"].isNotNull())).alias("changes"))
+    return out.unionByName(texts.where(F.col(text).isNull()).select(key, text, F.col(text).alias("expanded"), F.col(text).alias("replaced"), F.lit(0).alias("changes")))

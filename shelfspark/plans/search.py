@@ -208,13 +208,6 @@ def spelling_corrections(spark: SparkSession, sf: str) -> DataFrame:
     return corrections(words, vocabulary)
 
 
-def autocomplete(spark: SparkSession, sf: str) -> DataFrame:
-    """For every first three letters of a query text, the five texts most asked."""
-    asked = table(spark, sf, "judgments").select(T.for_matching(F.col("query"), False).alias("text")).where(F.char_length("text") >= 3)
-    counts = asked.groupBy("text").agg(F.count(F.lit(1)).alias("traffic")).withColumn("prefix", F.substring("text", 1, 3))
-    return top_k(counts, ["prefix"], [F.desc("traffic"), F.asc("text")], 5).withColumn("rk", F.col("rk").cast("long"))
-
-
 _R = """r AS (SELECT request_id, query_id, doc_id, max(bm25_text::DOUBLE) AS bm25_text, max(vectors::DOUBLE) AS vectors,
   max(scores::DOUBLE) AS scores, max(served_by) AS served_by FROM search_response GROUP BY ALL)"""
 _J = """j AS (SELECT query_id, doc_id, max(gain) AS gain, min(esci_label) AS esci_label FROM judgments WHERE gain IS NOT NULL GROUP BY ALL)"""
@@ -257,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_two_fields, bm25_query_stats, term_statistics, title_vocabulary, lexical_features, knn_exact, knn_filtered, knn_ivf, vector_norms, rrf_fusion, z_fusion,
-        rescued_requests, served_fallback, ndcg_rerank, ndcg_retrieval, ndcg_by_slice, paired_methods, ndcg_bootstrap, spelling_corrections, autocomplete,
+        rescued_requests, served_fallback, ndcg_rerank, ndcg_retrieval, ndcg_by_slice, paired_methods, ndcg_bootstrap, spelling_corrections,
     )
 }
 SQL = {
@@ -314,7 +307,4 @@ SQL = {
         UNION ALL SELECT 2 * request_id, query_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY vectors DESC, doc_id) FROM r WHERE vectors IS NOT NULL), {_COND},
       w AS (SELECT query_id, avg(ndcg_cond) FILTER (WHERE request_id % 2 = 1) AS a, avg(ndcg_cond) FILTER (WHERE request_id % 2 = 0) AS b FROM v GROUP BY query_id)
       SELECT locale, round(avg(b - a), 5) AS delta, count(*) AS n FROM w JOIN queries USING (query_id) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY locale""",
-    "autocomplete": """WITH t AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(query, '')), '[’`´]', '''', 'g'), '(\\d),(\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM judgments),
-      c AS (SELECT text, count(*) AS traffic, left(text, 3) AS prefix FROM t WHERE length(text) >= 3 GROUP BY text)
-      SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY traffic DESC, text) AS rk FROM c QUALIFY rk <= 5""",
 }

@@ -15,13 +15,15 @@ def _utc(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    """Events per hour and type."""
-    return _utc(E.run_once(E.tumbling(E.read_events(spark, sf), "ts", "1 hour", "10 minutes", "event_type"), "complete"), "window_start")
+    """Events per hour and type, each window once when the watermark has passed it."""
+    stream = E.with_end(E.read_events(spark, sf), "ts", sf)
+    return _utc(E.run_once(E.tumbling(stream, "ts", "1 hour", "10 minutes", "event_type")).where("event_type IS NOT NULL"), "window_start")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of each user, closed by thirty minutes without an event."""
-    return _utc(E.run_once(E.sessions(E.read_events(spark, sf), "ts", "30 minutes", "10 minutes", "user_id"), "complete"), "session_start")
+    stream = E.with_end(E.read_events(spark, sf), "ts", sf)
+    return _utc(E.run_once(E.sessions(stream, "ts", "30 minutes", "10 minutes", "user_id")).where("user_id IS NOT NULL"), "session_start")
 
 
 def stream_feedback(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,10 +32,10 @@ def stream_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_json_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Click events appended to files, each once by its id under a watermark."""
+    """Click events appended to JSON lines, each once by its id under a watermark."""
     stream = E.read_events(spark, sf).withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", "1 hour")
     clicks = stream.where("event_type = 'click'").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "value")
-    return E.run_once(clicks)
+    return E.run_once(clicks, kind="json")
 
 
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, stream_feedback, stream_json_sink)}
