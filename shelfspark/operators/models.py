@@ -6,10 +6,10 @@ import json
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows a model is fitted on at most.
@@ -32,6 +32,21 @@ def department_model(labelled: DataFrame, terms: str, label: str, features: int
     return Pipeline(stages=stages).fit(labelled)
 
 
+def label_classifier(pairs: DataFrame, features: list[str], label: str) -> PipelineModel:
+    """A forest over features for the relevance label, with a probability per label."""
+    stages = [StringIndexer(inputCol=label, outputCol="label_no", stringOrderType="alphabetAsc", handleInvalid="skip"), VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), RandomForestClassifier(labelCol="label_no", numTrees=20, maxDepth=6, seed=3)]
+    return Pipeline(stages=stages).fit(pairs)
+
+
+def rerank(rows: DataFrame, query: str, score: str, model_score: str, rank: str, depth: int) -> DataFrame:
+    """``final`` and ``rk``: the first ``depth`` of each query in the order of the model, the rest below its least score in their own order."""
+    own = Window.partitionBy(query)
+    inside = F.col(rank) <= depth
+    least = F.min(F.when(inside, F.col(model_score))).over(own)
+    made = rows.withColumn("final", F.when(inside, F.col(model_score)).otherwise(least - 1 - (F.col(rank) - depth - 1) * 1e-3))
+    return made.withColumn("rk", F.row_number().over(own.orderBy(F.desc("final"), F.desc(score), F.asc("doc_id"))).cast("long"))
+
+
 def ranking_model(pairs: DataFrame, features: list[str], gain: str) -> PipelineModel:
     """Boosted trees on graded gains, pointwise."""
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol=gain, featuresCol="features", maxIter=10, maxDepth=4, seed=3)]
@@ -68,5 +83,11 @@ class Registry:
         row = self._meta().where((F.col("name") == name) & (F.col("alias") == alias)).orderBy(F.desc("at")).first()
         return row.version if row else None
 
+    def listing(self) -> DataFrame:
+        """``name``, ``version``, its latest ``alias`` and ``meta`` of every registered model."""
+        log = self._meta()
+        meta = F.max_by("meta", F.when(F.col("alias") == "candidate", F.col("at")))
+        return log.groupBy("name", "version").agg(F.max_by("alias", "at").alias("alias"), meta.alias("meta"))
+
     def load(self, name: str, alias: str = "production") -> PipelineModel:
         return PipelineModel.load(f"{self.root}/{name}/{self.resolve(name, alias)}")

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from shelfspark.functions import text as T
 from shelfspark.functions.words import COUNT_CJK, COUNT_WORDS
 from shelfspark.operators import sampling
+from shelfspark.operators.matching import brand_mentions
 from shelfspark.operators.ranking import top_k
+from shelfspark.operators.sizing import lookup
+from shelfspark.plans.sqltext import sql_nfkc
+from shelfspark.session import cut
 from shelfspark.sources import files
 from shelfspark.sources.tables import table
 
 
 def partitioned_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalog written by locale and read again for one locale: only its directory is scanned."""
+    """The catalog written by locale and read again locale by locale: each reading scans one directory."""
     path = files.scratch(spark, "catalog")
     files.write_partitioned(table(spark, sf, "catalog").select("doc_id", "category", "seller", "locale"), path, "locale")
-    return spark.read.parquet(path).where("locale = 'es'").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seller").alias("n_sellers"))
+    parts = [spark.read.parquet(path).where(F.col("locale") == x).groupBy("locale", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seller").alias("n_sellers")) for x in ("us", "es", "jp")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def csv_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +47,8 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """SHA-256 of the reference list's files."""
-    return files.digests(spark, f"{sf}/brand_list.parquet")
+    """SHA-256 of all table files of the folder."""
+    return files.digests(spark, sf)
 
 
 def stage_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,12 +128,11 @@ def brand_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brand_specificity(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands of at least 15 listings, with the titles that mention them (word n-grams met by an equi-join)."""
-    brands = brand_vocabulary(spark, sf).where((F.col("n_products") >= 15) & (F.char_length("brand_norm") >= 3) & ~F.col("brand_norm").rlike(r"^\d+$")).select("locale", "brand_norm", "n_products")
-    words = F.filter(F.split(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    t = table(spark, sf, "catalog").select("locale", "doc_id", words.alias("w")).where(F.size("w") > 0)
-    grams = F.concat(F.col("w"), F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 2), " ")))
-    hits = t.select("locale", F.explode(F.array_distinct(grams)).alias("brand_norm")).groupBy("locale", "brand_norm").agg(F.count(F.lit(1)).alias("n_mentions"))
+    """Brands of at least three listings, with the titles that mention them, and whether enough of those are the brand's own."""
+    long = F.char_length("brand_norm") >= F.when(F.col("locale") == "jp", 2).otherwise(3)
+    brands = brand_vocabulary(spark, sf).where((F.col("n_products") >= 3) & long & ~F.col("brand_norm").rlike(r"^\d+$")).select("locale", "brand_norm", "n_products")
+    titles = table(spark, sf, "catalog").select(F.col("doc_id").alias("rec"), "locale", T.for_matching(F.col("title")).alias("text"))
+    hits = brand_mentions(titles, brands.select("locale", F.col("brand_norm").alias("name"))).groupBy("locale", F.col("name").alias("brand_norm")).agg(F.count(F.lit(1)).alias("n_mentions"))
     out = brands.join(hits, ["locale", "brand_norm"], "left")
     return out.select("locale", "brand_norm", "n_products", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"), (F.col("n_mentions").isNull() | (F.col("n_products") / F.col("n_mentions") >= 0.05)).alias("kept"))
 
@@ -179,7 +183,7 @@ def shrunk_ratings(spark: SparkSession, sf: str) -> DataFrame:
     j = table(spark, sf, "judgments").where("gain IS NOT NULL").dropDuplicates(["example_id"])
     prior = j.groupBy("locale").agg(F.avg("gain").alias("m"))
     own = j.groupBy("locale", "doc_id").agg(F.sum("gain").alias("s"), F.count(F.lit(1)).alias("n"))
-    return own.join(F.broadcast(prior), "locale").select("doc_id", "n", F.round((F.col("s") + 20 * F.col("m")) / (F.col("n") + 20), 6).alias("shrunk"))
+    return lookup(own, cut(prior), ["locale"]).select("doc_id", "n", F.round((F.col("s") + 20 * F.col("m")) / (F.col("n") + 20), 6).alias("shrunk"))
 
 
 def column_nulls(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,31 +248,9 @@ def multiway_join(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.countDistinct("o_orderkey").alias("n_orders"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-def validation_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """The gate: uniqueness, orphans, leakage, implications and bounds, one row per check."""
-    c, q, j, r = (table(spark, sf, t) for t in ("catalog", "queries", "judgments", "search_response"))
-    checks = {
-        "catalog_doc_id_unique": c.groupBy("doc_id").count().where("count > 1"),
-        "query_id_unique": q.groupBy("query_id").count().where("count > 1"),
-        "judgments_without_query": j.join(q, "query_id", "left_anti"),
-        "judgments_without_listing": j.join(c, "doc_id", "left_anti"),
-        "query_in_two_splits": j.groupBy("query_id").agg(F.countDistinct("split").alias("n")).where("n > 1"),
-        "gain_outside_bounds": j.where("gain < 0 OR gain > 1"),
-        "gain_without_label": j.where("esci_label IS NULL AND gain IS NOT NULL"),
-        "response_in_other_locale": r.where("substring(doc_id, 1, 2) <> locale"),
-        "ingested_before_asked": r.where("ingested_at < ts_utc"),
-        "title_only_but_rich": c.where("is_title_only AND richness_chars > 0"),
-    }
-    out = None
-    for name, bad in checks.items():
-        part = bad.agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit(name).alias("check_name"), "n_bad", (F.col("n_bad") == 0).alias("ok"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def title_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Dimensions and pack counts read from the titles."""
-    t = T.for_matching(F.col("title"), False)
+    t = T.for_matching(F.col("title"))
     rows = table(spark, sf, "catalog").select("doc_id", F.array_join(T.dimensions(t), ",").alias("dimensions"), T.pack_count(t).alias("pack_count"))
     return rows.where("dimensions <> '' OR pack_count IS NOT NULL")
 
@@ -319,6 +301,7 @@ def match_features(spark: SparkSession, sf: str) -> DataFrame:
 
 _ONCE = "(SELECT * FROM judgments QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY ingested_at) = 1)"
 _MATCH = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[’`´]', '''', 'g'), '(\\d),(\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
+_MATCH_NFKC = _MATCH.replace("coalesce(title, '')", sql_nfkc("coalesce(title, '')"))
 _PACK = (
     "((?:pack|set|box|case|bag|lot|bundle) of \\d+|(?:paquete|juego|lote|set|pack) de \\d+|\\d+\\s*-?\\s*(?:"
     + "|".join(sorted(COUNT_WORDS, key=len, reverse=True)) + ")\\b|\\d+\\s*(?:" + "|".join(sorted(COUNT_CJK, key=len, reverse=True)) + "))"
@@ -329,12 +312,12 @@ QUERIES = {
     for f in (
         partitioned_catalog, csv_sources, json_products, qrels, file_digests, stage_manifest, latest_judgments, label_gains, split_pinning, query_profile, query_slices, query_intent,
         lexical_dispersion, brand_vocabulary, brand_specificity, title_groups, catalog_profile, title_quantiles, event_latency, requests_per_minute, popular_categories, shrunk_ratings,
-        column_nulls, ordered_documents, unjudged_listings, demo_subset, weighted_queries, set_operations, conditional_sums, multiway_join, validation_checks, title_attributes,
+        column_nulls, ordered_documents, unjudged_listings, demo_subset, weighted_queries, set_operations, conditional_sums, multiway_join, title_attributes,
         title_keywords, clean_documents, query_keys, negated_queries, document_stats, match_features,
     )
 }
 SQL = {
-    "partitioned_catalog": "SELECT category, count(*) AS n, count(DISTINCT seller) AS n_sellers FROM catalog WHERE locale = 'es' GROUP BY 1",
+    "partitioned_catalog": "SELECT locale, category, count(*) AS n, count(DISTINCT seller) AS n_sellers FROM catalog GROUP BY ALL",
     "csv_sources": "SELECT query_id, coalesce(source, 'other') AS source FROM queries LEFT JOIN (SELECT DISTINCT query_id, source FROM judgments WHERE source IS NOT NULL) USING (query_id)",
     "json_products": "SELECT DISTINCT locale, product_id, seller FROM catalog WHERE NOT is_title_only",
     "qrels": "SELECT DISTINCT split, locale, concat_ws(' ', query_id::VARCHAR, '0', doc_id, grade::VARCHAR) AS line FROM judgments WHERE grade IS NOT NULL",
@@ -361,10 +344,9 @@ SQL = {
     "brand_vocabulary": """WITH a AS (SELECT locale, brand_norm, count(*) AS n_products FROM catalog WHERE brand_norm IS NOT NULL GROUP BY ALL),
       c AS (SELECT locale, brand_norm, category, count(*) AS k FROM catalog WHERE brand_norm IS NOT NULL AND category IS NOT NULL GROUP BY ALL),
       t AS (SELECT locale, brand_norm, category AS top_category FROM c QUALIFY row_number() OVER (PARTITION BY locale, brand_norm ORDER BY k DESC, category) = 1) SELECT * FROM a LEFT JOIN t USING (locale, brand_norm)""",
-    "brand_specificity": r"""WITH b AS (SELECT locale, brand_norm, count(*) AS n_products FROM catalog WHERE brand_norm IS NOT NULL GROUP BY ALL HAVING count(*) >= 15 AND length(brand_norm) >= 3 AND NOT regexp_matches(brand_norm, '^\d+$')),
-      t AS (SELECT locale, doc_id, list_filter(string_split(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM catalog),
-      g AS (SELECT locale, unnest(list_distinct(list_concat(w, list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i:i + 1], ' '))))) AS brand_norm FROM t WHERE len(w) > 0),
-      h AS (SELECT locale, brand_norm, count(*) AS m FROM g GROUP BY ALL)
+    "brand_specificity": rf"""WITH b AS (SELECT locale, brand_norm, count(*) AS n_products FROM catalog WHERE brand_norm IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND length(brand_norm) >= CASE locale WHEN 'jp' THEN 2 ELSE 3 END AND NOT regexp_matches(brand_norm, '^\d+$')),
+      t AS (SELECT locale, doc_id, {_MATCH_NFKC} AS t, ' ' || trim(regexp_replace({_MATCH_NFKC}, '[^\p{{L}}\p{{N}}\p{{M}}_]+', ' ', 'g')) || ' ' AS p FROM catalog),
+      h AS (SELECT b.locale, brand_norm, count(*) AS m FROM b JOIN t ON b.locale = t.locale AND CASE WHEN b.locale = 'jp' THEN contains(t, brand_norm) ELSE contains(p, ' ' || brand_norm || ' ') END GROUP BY ALL)
       SELECT locale, brand_norm, n_products, coalesce(m, 0) AS n_mentions, m IS NULL OR n_products / m >= 0.05 AS kept FROM b LEFT JOIN h USING (locale, brand_norm)""",
     "title_groups": "SELECT doc_id, md5(concat_ws('|', locale, lower(title))) AS title_key, count(*) OVER (PARTITION BY md5(concat_ws('|', locale, lower(title)))) AS title_group_size FROM catalog WHERE title IS NOT NULL QUALIFY title_group_size > 1",
     "catalog_profile": """SELECT locale, count(*) AS n, count(DISTINCT brand_norm) AS n_brands, count(*) FILTER (WHERE is_sparse) AS n_sparse, round(avg(n_title_chars), 6) AS mean_title, min(n_title_chars) AS min_title,
@@ -393,22 +375,7 @@ SQL = {
       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
     "multiway_join": """SELECT r_name, count(DISTINCT o_orderkey) AS n_orders, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
-    "validation_checks": "SELECT check_name, n_bad, n_bad = 0 AS ok FROM (" + " UNION ALL ".join(
-        f"SELECT '{n}' AS check_name, count(*) AS n_bad FROM ({q})"
-        for n, q in {
-            "catalog_doc_id_unique": "SELECT doc_id FROM catalog GROUP BY 1 HAVING count(*) > 1",
-            "query_id_unique": "SELECT query_id FROM queries GROUP BY 1 HAVING count(*) > 1",
-            "judgments_without_query": "SELECT 1 FROM judgments WHERE query_id NOT IN (SELECT query_id FROM queries)",
-            "judgments_without_listing": "SELECT 1 FROM judgments WHERE doc_id NOT IN (SELECT doc_id FROM catalog)",
-            "query_in_two_splits": "SELECT query_id FROM judgments GROUP BY 1 HAVING count(DISTINCT split) > 1",
-            "gain_outside_bounds": "SELECT 1 FROM judgments WHERE gain < 0 OR gain > 1",
-            "gain_without_label": "SELECT 1 FROM judgments WHERE esci_label IS NULL AND gain IS NOT NULL",
-            "response_in_other_locale": "SELECT 1 FROM search_response WHERE left(doc_id, 2) <> locale",
-            "ingested_before_asked": "SELECT 1 FROM search_response WHERE ingested_at < ts_utc",
-            "title_only_but_rich": "SELECT 1 FROM catalog WHERE is_title_only AND richness_chars > 0",
-        }.items()
-    ) + ")",
-    "title_attributes": f"""WITH t AS (SELECT doc_id, {_MATCH} AS t FROM catalog),
+    "title_attributes": f"""WITH t AS (SELECT doc_id, {_MATCH_NFKC} AS t FROM catalog),
       d AS (SELECT doc_id, list_transform(regexp_extract_all(t, '\\d+(?:\\.\\d+)?\\s*(?:x|×|\\*)\\s*\\d+(?:\\.\\d+)?(?:\\s*(?:x|×|\\*)\\s*\\d+(?:\\.\\d+)?)?'), lambda d: regexp_replace(regexp_replace(d, '\\s+', '', 'g'), '[×*]', 'x', 'g')) AS d,
         TRY_CAST(regexp_extract(regexp_extract(t, '{_PACK}', 1), '(\\d+)', 1) AS INT) AS pack_count FROM t),
       e AS (SELECT doc_id, array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), ',') AS dimensions, pack_count FROM d) SELECT * FROM e WHERE dimensions <> '' OR pack_count IS NOT NULL""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +113,7 @@ def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     """Length of every vector and its cosine with the mean vector of its label."""
     v = _vectors(spark, sf)
-    means = v.select("group", F.posexplode("v").alias("i", "x")).groupBy("group", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = means.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    means = v.groupBy("group").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("v").cast("array<double>")))).alias("mean"))
     return v.join(means, "group").select("vec", F.round(R.norm(F.col("v")), 6).alias("length"), F.round(R.dot(F.col("v"), F.col("mean")) / (R.norm(F.col("v")) * R.norm(F.col("mean"))), 6).alias("cosine"))
 
 
@@ -138,7 +139,6 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 def z_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Convex fusion of z-scores (vectors 0.35) over the union of candidates, best ten."""
     rows = _responses(spark, sf).where(F.col("bm25_text").isNotNull() | F.col("vectors").isNotNull())
-    rows = rows.withColumn("bm25_text", F.when(F.abs("bm25_text") < 1e6, F.col("bm25_text"))).withColumn("vectors", F.when(F.abs("vectors") < 1e6, F.col("vectors")))
     fused = R.z_fusion(rows, "request_id", "vectors", "bm25_text", 0.35)
     return top_k(fused, ["request_id"], [F.desc("fused"), F.asc("doc_id")], 10).select("request_id", "doc_id", "fused", F.col("rk").cast("long").alias("rk"))
 
@@ -284,7 +284,7 @@ SQL = {
       UNION ALL SELECT request_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY vectors DESC, doc_id) FROM r WHERE vectors IS NOT NULL),
       s AS (SELECT request_id, doc_id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM a GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) AS rk FROM s QUALIFY rk <= 10""",
-    "z_fusion": f"""WITH {_R}, c AS (SELECT request_id, doc_id, CASE WHEN abs(bm25_text) < 1e6 THEN bm25_text END AS b, CASE WHEN abs(vectors) < 1e6 THEN vectors END AS v
+    "z_fusion": f"""WITH {_R}, c AS (SELECT request_id, doc_id, bm25_text AS b, vectors AS v
       FROM r WHERE bm25_text IS NOT NULL OR vectors IS NOT NULL),
       z AS (SELECT request_id, doc_id, round(0.35::DOUBLE * coalesce(CASE WHEN count(v) OVER w >= 2 AND stddev_pop(v) OVER w > 1e-9 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE 0 END, 0)
         + 0.65::DOUBLE * coalesce(CASE WHEN count(b) OVER w >= 2 AND stddev_pop(b) OVER w > 1e-9 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0 END, 0), 6) AS fused FROM c WINDOW w AS (PARTITION BY request_id))
