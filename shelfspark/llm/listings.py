@@ -20,8 +20,8 @@ from shelfspark.session import cut
 
 #: Sizes this close are one size, rounded or converted differently.
 SIZE_ALIKE = 0.02
-#: Rare tokens of a listing that are paired to blocks, and the share of these blocks, the rarest first, it stays in.
-RARE_TOKENS, KEPT_BLOCKS = 4, 2 / 3
+#: Rare tokens of a listing that are paired to blocks, and how many times as large as its smallest block such a block may be.
+RARE_TOKENS, SPREAD = 4, 4
 #: Least share of the listings of a series word and number that one brand has; those of "new 2024" have all brands.
 ONE_BRAND = 0.1
 #: Share of their blocks two listings must have in common if not both name a model number.
@@ -138,7 +138,7 @@ def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of the listing graph and the node of each listing. Listings that say the same are one node, however many they are.
 
     A node's ``blocks`` are its model numbers, with the series word or with the brand, and pairs of its ``RARE_TOKENS``
-    rarest tokens, of these the rarer part; blocks of one listing are left out. ``main`` is its rarest model. A word and
+    rarest tokens that are not far larger than its smallest block; blocks of one listing are left out. ``main`` is its rarest model. A word and
     number that listings of all brands have is no model.
     """
     named = F.concat(F.transform("models", lambda m: F.struct(F.lit(True).alias("model"), m.alias("token"))), F.transform("tokens", lambda t: F.struct(F.lit(False).alias("model"), t.alias("token"))))
@@ -161,8 +161,7 @@ def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = known.select("doc_id", F.inline("blocks"))
     counts = cut(each.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     ranked = lookup(each, counts, ["block"], count="n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "block", "model"))).alias("b"))
-    paired = F.filter("b", lambda x: ~x["model"])
-    kept = ranked.select("doc_id", F.concat(F.filter("b", lambda x: x["model"]), F.slice(paired, F.lit(1), F.ceil(F.size(paired) * KEPT_BLOCKS).cast("int"))).alias("blocks"))
+    kept = ranked.select("doc_id", F.filter("b", lambda x: x["model"] | (x["n"] <= SPREAD * F.col("b")[0]["n"])).alias("blocks"))
     whole = known.drop("blocks").join(kept, "doc_id").withColumn("main", F.get("models", F.lit(0)))
     sign = F.md5(F.to_json(F.struct("locale", "models", "blocks", *_FACTS)))
     whole = cut(whole.withColumn("node", F.unhex(sign)))
