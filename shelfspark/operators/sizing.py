@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows and bytes (as text) up to which a lookup table may be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
 #: Rows of one key that stay together in a task.
 HOT_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most ``rows`` rows of at most ``size`` bytes in all; reads no more than it must."""
-    head = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
-    return head["n"] <= rows and (head["size"] or 0) <= size
+    """Whether ``df`` has at most ``rows`` rows of at most ``size`` bytes in all; the bytes are summed only if the rows are few."""
+    if df.count() > rows:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size
 
 
 def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: int = HOT_ROWS, count: str | None = None) -> DataFrame:
