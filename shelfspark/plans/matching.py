@@ -279,4 +279,11 @@ SQL = {
     "autocomplete": """WITH t AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(query, '')), '[’`´]', '''', 'g'), '(\\d),(\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM judgments),
       c AS (SELECT text, count(*) AS traffic FROM t WHERE length(text) >= 2 GROUP BY text), p AS (SELECT text, traffic, left(text, unnest(range(2, least(length(text), 8) + 1))::INT) AS prefix FROM c)
       SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY traffic DESC, text) AS rk FROM p QUALIFY rk <= 5""",
+    "negated_queries": f"""WITH a AS (SELECT query_id, trim(regexp_replace({sql_normalize('query')}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS n FROM queries), b AS (SELECT query_id, n, {_sql_negated('n')} AS l FROM a)
+      SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS negated FROM b WHERE regexp_matches(n, '\\b(?:without|w/o|not|non|no|sin|except|excluding|free of)\\b|なし|無し|不要|以外')""",
+    "ndcg_bootstrap": f"""WITH {search._R}, {search._J}, {search._RANK.format(c='scores')}, {search._IDEAL}, {search._COND}, d AS (SELECT request_id, served_by, ndcg_cond AS d FROM v JOIN (SELECT DISTINCT request_id, served_by FROM r) USING (request_id)),
+      k AS (SELECT *, {_U.format("request_id::VARCHAR, draw::VARCHAR")} AS u FROM d CROSS JOIN (SELECT unnest(range(1, 101)) AS draw) WHERE d IS NOT NULL),
+      p AS (SELECT served_by, draw, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in E.poisson_steps())} AS c, d FROM k), n AS (SELECT served_by, draw, sum(c * d) / nullif(sum(c), 0) AS m FROM p GROUP BY ALL),
+      bb AS (SELECT served_by, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM n GROUP BY 1)
+      SELECT served_by, round(avg(d), 6) AS mean, count(d) AS n, lo, hi FROM d JOIN bb USING (served_by) GROUP BY ALL""",
 }

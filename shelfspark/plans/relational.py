@@ -11,7 +11,7 @@ from shelfspark.operators import sampling
 from shelfspark.operators.matching import brand_mentions
 from shelfspark.operators.ranking import top_k
 from shelfspark.operators.sizing import lookup
-from shelfspark.plans.sqltext import sql_nfkc
+from shelfspark.plans.sqltext import sql_nfkc, sql_units, sql_visible, sql_without_markup
 from shelfspark.session import cut
 from shelfspark.sources import files
 from shelfspark.sources.tables import table
@@ -386,4 +386,9 @@ SQL = {
       SELECT query_id, doc_id, list_has_any(qc, dc) AS colors_match, len(qc) > 0 AND len(dc) > 0 AND NOT list_has_any(qc, dc) AS colors_conflict, list_has_any(qm, dm) AS materials_match, len(qm) > 0 AND len(dm) > 0 AND NOT list_has_any(qm, dm) AS materials_conflict,
       list_has_any(qa, da) AS audience_match, len(qa) > 0 AND len(da) > 0 AND NOT list_has_any(qa, da) AS audience_conflict, coalesce(qp = dp, false) AS pack_match, coalesce(qp <> dp, false) AS pack_conflict,
       coalesce(list_contains(qb, brand_norm), false) AS brand_match, round(ln(1 + richness_chars), 6) AS log_richness, n_units, has_digit FROM p JOIN q USING (query_id) JOIN c USING (doc_id)""",
+    "query_keys": f"""WITH q AS (SELECT DISTINCT locale, query FROM judgments), u AS (SELECT locale, {sql_units('query')} AS u FROM q)
+      SELECT locale, count(*) AS n_raw, count(DISTINCT array_to_string(u, ' ')) AS n_ordered, count(DISTINCT array_to_string(list_sort(u), ' ')) AS n_sorted FROM u GROUP BY 1""",
+    "clean_documents": f"""WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), c AS (SELECT doc_id, regexp_replace({sql_visible(sql_nfkc(sql_without_markup('line')))}, '^[^\\p{{L}}\\p{{N}}]+', '') AS line FROM l),
+      n AS (SELECT doc_id, count(*) FILTER (WHERE length(line) > 1) AS n_lines FROM c GROUP BY 1)
+      SELECT doc_id, length({sql_visible(sql_nfkc(sql_without_markup('text')))}) AS n_clean, n_lines FROM documents JOIN n USING (doc_id)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from shelfspark.functions.words import CJK, STOPWORDS
+from shelfspark.functions.words import CJK, ENTITIES, STOPWORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -43,3 +43,22 @@ def sql_terms(x: str) -> str:
     runs = f"regexp_extract_all({t}, '[{CJK}]+')"
     grams = f"flatten(list_transform({runs}, lambda r: CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i::INT, 2)) END))"
     return f"list_concat(list_transform({words}, lambda w: {sql_stem('w')}), {grams})"
+
+
+def sql_units(x: str) -> str:
+    """Words that are no stop words, then the runs of Japanese script."""
+    t = sql_normalize(x)
+    words = f"list_filter(regexp_extract_all(regexp_replace({t}, '[{CJK}]+', ' ', 'g'), '\\d+(?:\\.\\d+)?|[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({_STOP}))"
+    return f"list_concat({words}, regexp_extract_all({t}, '[{CJK}]+'))"
+
+
+def sql_without_markup(x: str) -> str:
+    t = f"regexp_replace(regexp_replace({x}, '(?i)<br\\s*/?>|</p>|</li>|</div>', ' ', 'g'), '<[^>]{{0,200}}>', ' ', 'g')"
+    for entity, sign in sorted(ENTITIES.items(), key=lambda e: e[0] == "&amp;"):
+        sign = sign.replace("'", "''")
+        t = f"replace({t}, '{entity}', '{sign}')"
+    return t
+
+
+def sql_visible(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '[\u00ad\u200b-\u200f\ufeff]', '', 'g'), '[\\s\\p{{Z}}\u0085\u000b]+', ' ', 'g'))"
