@@ -145,6 +145,31 @@ def depth_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("depth").agg(F.round(F.avg("ndcg_cond"), 5).alias("ndcg_cond"), F.count("ndcg_cond").alias("n"))
 
 
+def alpha_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean condensed nDCG of the convex fusion of z-scores for several weights of the vectors, and which is best."""
+    rows, judged = search._responses(spark, sf).where("bm25_text IS NOT NULL OR vectors IS NOT NULL"), search._judged(spark, sf)
+    over = Window.partitionBy("request_id")
+    z = {c: F.coalesce(R.zscore(F.col(c), over), F.lit(0.0)) for c in ("vectors", "bm25_text")}
+    scored = rows.select("request_id", "query_id", "doc_id", *[v.alias(k) for k, v in z.items()]).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
+    scored = scored.withColumn("s", F.round(F.col("alpha") * F.col("vectors") + (1 - F.col("alpha")) * F.col("bm25_text"), 6))
+    ranked = scored.select(F.concat_ws("/", "request_id", "alpha").alias("run"), "query_id", "doc_id", F.row_number().over(Window.partitionBy("request_id", "alpha").orderBy(F.desc("s"), F.asc("doc_id"))).alias("rk"))
+    per = E.retrieval_metrics(ranked, judged, "run").withColumn("alpha", F.substring_index("run", "/", -1).cast("double"))
+    means = per.groupBy("alpha").agg(F.round(F.avg("ndcg_cond"), 5).alias("ndcg_cond"), F.count("ndcg_cond").alias("n"))
+    return means.withColumn("best", F.row_number().over(Window.orderBy(F.desc("ndcg_cond"), F.asc("alpha"))) == 1)
+
+
+ALPHAS = [0.0, 0.25, 0.35, 0.5, 0.75, 1.0]
+
+
+def degradation_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Per request the method that can serve it, the first of the chain whose inputs are there, and why not the one asked for; a tenth, by hash, run out of time for the model."""
+    per = search._responses(spark, sf).groupBy("request_id", "served_by").agg(F.count("bm25_text").alias("t"), F.count("vectors").alias("v"), F.count("scores").alias("s"))
+    late = uniform("request_id", F.lit("budget")) < 0.1
+    method = F.when((F.col("s") > 0) & ~late, "model").when((F.col("t") > 0) & (F.col("v") > 0), "hybrid").when(F.col("t") > 0, "text").when(F.col("v") > 0, "vectors").otherwise("none")
+    reason = F.when((F.col("s") > 0) & ~late, "").when((F.col("s") > 0) & late, "budget").otherwise("no scores")
+    return per.select("request_id", "served_by", method.alias("method"), reason.alias("reason"))
+
+
 def slice_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Mean condensed nDCG by method within slices: ambiguous, with measures, with brand, with digits, length bucket, source and traffic bucket."""
     per = E.retrieval_metrics(search._served_ranks(spark, sf), search._judged(spark, sf), "request_id").where("ndcg_cond IS NOT NULL")
@@ -212,7 +237,7 @@ def _sql_negated(n: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (typo_corrections, corrected_queries, query_brands, planted_negations, ranking_features, robustness, paired_interval, depth_sweep, slice_metrics, rrf_rerank, complement_departments, autocomplete)
+    for f in (typo_corrections, corrected_queries, query_brands, planted_negations, ranking_features, robustness, paired_interval, depth_sweep, alpha_grid, degradation_chain, slice_metrics, rrf_rerank, complement_departments, autocomplete)
 }
 SQL = {
     "typo_corrections": f"""WITH {search._I}, {_V}, ty AS (SELECT {graphs._sql_typo('term', _U.format("term, 'kind'"), _U.format("term, 'place'"))} AS term FROM voc WHERE df >= 20 AND regexp_matches(term, '{LATIN}')), {_sql_fix('ty')} SELECT term, n0, suggestion, n FROM fix""",
@@ -286,4 +311,13 @@ SQL = {
       p AS (SELECT served_by, draw, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in E.poisson_steps())} AS c, d FROM k), n AS (SELECT served_by, draw, sum(c * d) / nullif(sum(c), 0) AS m FROM p GROUP BY ALL),
       bb AS (SELECT served_by, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM n GROUP BY 1)
       SELECT served_by, round(avg(d), 6) AS mean, count(d) AS n, lo, hi FROM d JOIN bb USING (served_by) GROUP BY ALL""",
+    "degradation_chain": f"""WITH {search._R}, p AS (SELECT request_id, served_by, count(bm25_text) AS t, count(vectors) AS v, count(scores) AS s, {_U.format("request_id::VARCHAR, 'budget'")} < 0.1 AS late FROM r GROUP BY ALL)
+      SELECT request_id, served_by, CASE WHEN s > 0 AND NOT late THEN 'model' WHEN t > 0 AND v > 0 THEN 'hybrid' WHEN t > 0 THEN 'text' WHEN v > 0 THEN 'vectors' ELSE 'none' END AS method, CASE WHEN s > 0 AND NOT late THEN '' WHEN s > 0 THEN 'budget' ELSE 'no scores' END AS reason FROM p""",
+    "alpha_grid": f"""WITH {search._R}, {search._J}, {search._IDEAL}, c AS (SELECT request_id, query_id, doc_id, bm25_text AS b, vectors AS v FROM r WHERE bm25_text IS NOT NULL OR vectors IS NOT NULL),
+      z AS (SELECT request_id, query_id, doc_id, coalesce(CASE WHEN count(v) OVER w >= 2 AND stddev_pop(v) OVER w > 1e-9 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE 0 END, 0) AS zv,
+        coalesce(CASE WHEN count(b) OVER w >= 2 AND stddev_pop(b) OVER w > 1e-9 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0 END, 0) AS zb FROM c WINDOW w AS (PARTITION BY request_id)),
+      g AS (SELECT *, unnest([0, 25, 35, 50, 75, 100]) AS a FROM z), h AS (SELECT request_id, query_id, doc_id, a, round((a / 100.0::DOUBLE) * zv + (1 - a / 100.0::DOUBLE) * zb, 6) AS s0 FROM g),
+      s AS (SELECT request_id * 1000 + a AS request_id, query_id, doc_id, row_number() OVER (PARTITION BY request_id, a ORDER BY s0 DESC, doc_id) AS rk FROM h), {search._COND},
+      o AS (SELECT (request_id % 1000) / 100.0::DOUBLE AS alpha, round(avg(ndcg_cond), 5) AS ndcg_cond, count(ndcg_cond) AS n FROM v GROUP BY 1)
+      SELECT *, row_number() OVER (ORDER BY ndcg_cond DESC, alpha) = 1 AS best FROM o""",
 }

@@ -121,6 +121,38 @@ def power_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return rate.select("locale", F.round("p1", 6).alias("p1"), F.ceil(F.pow(spread / F.nullif(F.col("p2") - F.col("p1"), F.lit(0.0)), 2)).alias("n_per_arm"))
 
 
+def parsed_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Order totals and ratings written as each locale writes them, read back."""
+    o = table(spark, sf, "orders")
+    locale = F.when(F.col("o_custkey") % 3 == 0, "us").when(F.col("o_custkey") % 3 == 1, "es").otherwise("jp")
+    us = F.format_number(F.col("o_totalprice"), 2)
+    text = F.when(locale == "us", F.concat(F.lit("$"), us)).when(locale == "es", F.concat(F.translate(us, ",.", ".,"), F.lit(" €"))).otherwise(F.concat(F.lit("￥"), us))
+    rating = F.round(F.col("o_orderkey") % 50 / 10 + 0.1, 1)
+    stars = F.when(locale == "us", F.concat(rating.cast("string"), F.lit(" out of 5 stars"))).when(locale == "es", F.concat(F.replace(rating.cast("string"), F.lit("."), F.lit(",")), F.lit(" de 5 estrellas"))).otherwise(F.concat(F.lit("5つ星のうち"), rating.cast("string")))
+    return o.select("o_orderkey", F.round(T.parse_number(text, locale), 2).alias("total"), T.parse_stars(stars, locale).alias("stars"))
+
+
+def pinned_judgments(spark: SparkSession, sf: str) -> DataFrame:
+    """Judgments by delivered split and by the one their query is pinned to (test where several were delivered)."""
+    j = table(spark, sf, "judgments")
+    pinned = j.groupBy("query_id").agg(F.when(F.countDistinct("split") > 1, "test").otherwise(F.min("split")).alias("pinned"), F.countDistinct("doc_id").alias("n_docs"))
+    return j.join(pinned, "query_id").groupBy("split", "pinned").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("most_docs"))
+
+
+def ttl_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of requests a cache of fifteen minutes would answer: the query was asked at most so long before."""
+    r = table(spark, sf, "search_response").select("request_id", "query_id", "locale", "ts_utc").distinct()
+    own = Window.partitionBy("query_id").orderBy("ts_utc", "request_id")
+    gap = F.unix_micros(F.col("ts_utc").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts_utc").cast("timestamp"))).over(own)
+    return r.withColumn("hit", F.coalesce(gap <= 900_000_000, F.lit(False)).cast("int")).groupBy("locale").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+
+
+def scale_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Straight line through the median value of each user's events over their number, by event type."""
+    per = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.median("value").alias("p50"))
+    return per.groupBy("event_type").agg(F.round(F.regr_slope("p50", "n"), 6).alias("slope"), F.round(F.regr_intercept("p50", "n"), 6).alias("intercept"), F.count(F.lit(1)).alias("users"))
+
+
 def matching_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Titles and brands in matching form (compatibility form included)."""
     return table(spark, sf, "catalog").select("doc_id", T.for_matching(F.col("title")).alias("title"), T.normalize_brand(F.col("brand")).alias("brand"))
@@ -137,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         colour_in_title, facet_counts, existing_columns, diagonal_concat, stable_uniforms, drawn_queries, quantile_mapped, assembled_text, formatted_ids, distractor_titles, category_softmax,
-        title_length_z, propagated_categories, power_sizes, matching_titles,
+        title_length_z, propagated_categories, power_sizes, parsed_amounts, pinned_judgments, ttl_hit_rate, scale_fit, matching_titles,
     )
 }
 SQL = {
@@ -179,4 +211,11 @@ SQL = {
       SELECT locale, round(p1, 6) AS p1, ceil(power((1.959964::DOUBLE * sqrt(2 * m * (1 - m)) + 0.841621::DOUBLE * sqrt(p1 * (1 - p1) + p2 * (1 - p2))) / nullif(p2 - p1, 0), 2))::BIGINT AS n_per_arm FROM m""",
     "matching_titles": f"""WITH b AS (SELECT doc_id, {sql_nfkc("coalesce(title, '')")} AS t, {_SQUEEZE.format(f"lower({sql_nfkc('brand')})")} AS b FROM catalog)
       SELECT doc_id, {_SQUEEZE.format("regexp_replace(regexp_replace(regexp_replace(lower(t), '[’`´]', '''', 'g'), '(\\d),(\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g')")} AS title, CASE WHEN b NOT IN ({_GENERIC}) AND b <> '' THEN b END AS brand FROM b""",
+    "parsed_amounts": "SELECT o_orderkey, round(o_totalprice, 2) AS total, round(o_orderkey % 50 / 10 + 0.1::DOUBLE, 1) AS stars FROM orders",
+    "pinned_judgments": """WITH p AS (SELECT query_id, CASE WHEN count(DISTINCT split) > 1 THEN 'test' ELSE min(split) END AS pinned, count(DISTINCT doc_id) AS n_docs FROM judgments GROUP BY 1)
+      SELECT split, pinned, count(*) AS n, max(n_docs) AS most_docs FROM judgments JOIN p USING (query_id) GROUP BY ALL""",
+    "ttl_hit_rate": """WITH r AS (SELECT DISTINCT request_id, query_id, locale, ts_utc FROM search_response), g AS (SELECT locale, coalesce(epoch_us(ts_utc) - lag(epoch_us(ts_utc)) OVER (PARTITION BY query_id ORDER BY ts_utc, request_id) <= 900000000, false) AS hit FROM r)
+      SELECT locale, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate FROM g GROUP BY 1""",
+    "scale_fit": """WITH p AS (SELECT event_type, user_id, count(*)::DOUBLE AS n, median(value) AS p50 FROM events GROUP BY ALL)
+      SELECT event_type, round(regr_slope(p50, n), 6) AS slope, round(regr_intercept(p50, n), 6) AS intercept, count(*) AS users FROM p GROUP BY 1""",
 }
