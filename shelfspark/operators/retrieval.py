@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.ranking import top_k
-from shelfspark.operators.sizing import lookup
+from shelfspark.operators.sizing import lookup, spread
 from shelfspark.session import cut
 
 K1, B = 1.2, 0.75
@@ -33,9 +33,9 @@ def postings(docs: DataFrame, doc: str, group: str, terms: Column) -> DataFrame:
 
 def bm25_index(docs: DataFrame, doc: str, group: str, terms: Column, k1: float = K1, b: float = B) -> DataFrame:
     """Postings with their BM25 ``weight`` and the term's ``idf``; frequencies and lengths are per group."""
-    posted = postings(docs, doc, group, terms)
-    lengths = docs.select(F.col(group).alias("group"), F.size(terms).alias("dl"))
-    totals = lengths.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    read = analysed(docs, doc, group, terms)
+    posted = postings(read, "doc", "group", F.col("terms"))
+    totals = read.select("group", F.size("terms").alias("dl")).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = posted.groupBy("group", "term").agg(F.count(F.lit(1)).alias("df"))
     whole = posted.join(df, ["group", "term"]).join(totals, "group")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -51,7 +51,7 @@ def query_terms(queries: DataFrame, key: str, group: str, terms: Column) -> Data
 
 def analysed(docs: DataFrame, doc: str, group: str, terms: Column) -> DataFrame:
     """``group``, ``doc``, ``terms``: every text analysed once, for the statistics and the search."""
-    return cut(docs.select(F.col(group).alias("group"), F.col(doc).alias("doc"), terms.alias("terms")))
+    return cut(spread(docs).select(F.col(group).alias("group"), F.col(doc).alias("doc"), terms.alias("terms")))
 
 
 def bm25_topk(docs: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK, k1: float = K1, b: float = B) -> DataFrame:

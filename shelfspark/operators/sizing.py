@@ -18,6 +18,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores: a small file is read by one task, which costly work should not wait for."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(rows: DataFrame, mapping: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: int = HOT_ROWS, count: str | None = None) -> DataFrame:
     """``rows`` joined to ``mapping``, whatever share of ``rows`` one key holds.
 

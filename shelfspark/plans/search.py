@@ -18,11 +18,11 @@ from shelfspark.sources.tables import table
 
 
 def _index(spark: SparkSession, sf: str, field: str = "title") -> DataFrame:
-    return R.bm25_index(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col(field)))
+    return R.bm25_index(table(spark, sf, "catalog").select("doc_id", "locale", field), "doc_id", "locale", T.terms(F.col(field)))
 
 
 def _analysed(spark: SparkSession, sf: str, field: str) -> DataFrame:
-    return R.analysed(table(spark, sf, "catalog"), "doc_id", "locale", T.terms(F.col(field)))
+    return R.analysed(table(spark, sf, "catalog").select("doc_id", "locale", field), "doc_id", "locale", T.terms(F.col(field)))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
