@@ -81,10 +81,14 @@ class _TermQueries:
         self.k1, self.b = k1, b
         self.groups: dict = {}
         for group, g in rows.groupby("group", dropna=False, sort=False):
-            terms = g.drop_duplicates("term")
-            ids = {t: i for i, t in enumerate(terms["term"])}
-            idf = np.log1p((terms["n"] - terms["df"] + 0.5) / (terms["df"] + 0.5)).to_numpy(float)
-            of = [(q, x["term"].map(ids).to_numpy(), x["qtf"].to_numpy(float)) for q, x in g.groupby("query", sort=False)]
+            g = g.sort_values("query", kind="stable")
+            codes, terms = pd.factorize(g["term"])
+            ids = {t: i for i, t in enumerate(terms)}
+            first = np.unique(codes, return_index=True)[1]
+            n, df = g["n"].to_numpy(float)[first], g["df"].to_numpy(float)[first]
+            idf = np.log1p((n - df + 0.5) / (df + 0.5))
+            queries, begins = np.unique(g["query"].to_numpy(), return_index=True)
+            of = list(zip(queries.tolist(), np.split(codes, begins[1:]), np.split(g["qtf"].to_numpy(float), begins[1:])))
             self.groups[group] = (ids, idf, float(g["avgdl"].iloc[0]), of)
 
 
