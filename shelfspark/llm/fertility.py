@@ -13,7 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.sizing import lookup
+from shelfspark.operators.sizing import lookup, spread
 from shelfspark.session import cut
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -74,7 +74,7 @@ def fertility(documents: DataFrame, key: str = "doc_id", text: str = "text", tok
             out.insert(0, "doc_id", b[key].to_numpy())
             yield out
 
-    return documents.select(key, text).mapInPandas(read, f"doc_id {kind}, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, entropy_share double")
+    return spread(documents.select(key, text)).mapInPandas(read, f"doc_id {kind}, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, entropy_share double")
 
 
 def bands(measured: DataFrame, width: float = BAND) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.textform import plain
 from shelfspark.operators.ranking import running_total
+from shelfspark.operators.sizing import spread
 from shelfspark.session import cut
 
 #: Characters of items searched for in one pass over the corpus (what is sent to the tasks); more take further passes.
@@ -215,7 +216,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     n_items = read.where("NOT spaceless").count()
     kind = documents.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double"
-    some = documents.select(key, text).where(F.col(text).isNotNull())
+    some = spread(documents.select(key, text).where(F.col(text).isNotNull()))
     found = spark.createDataFrame([], schema)
     for k in sorted(r["pass"] for r in read.select("pass").distinct().collect()):
         own = read.where(F.col("pass") == k)

@@ -13,6 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.sizing import spread
 from shelfspark.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -48,7 +49,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
             yield pd.DataFrame({"item": b[key], "n_tokens": [len(encode(t)) if t else 0 for t in b[text]]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(count, f"item {kind}, n_tokens long")
+    return spread(documents.select(key, text)).mapInPandas(count, f"item {kind}, n_tokens long")
 
 
 def fill(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from shelfspark.llm.textform import plain
+from shelfspark.operators.sizing import spread
 
 #: Words (for texts written without spaces: characters) that make a passage.
 WORDS, CHARS = 8, 16
@@ -63,4 +64,4 @@ def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame({"doc_id": b[key], "repeated_share": [repeated_share(t) for t in b[text]]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(measure, f"doc_id {kind}, repeated_share double")
+    return spread(documents.select(key, text)).mapInPandas(measure, f"doc_id {kind}, repeated_share double")
