@@ -19,7 +19,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores: a small file is read by one task, which costly work should not wait for."""
+    """``df`` over at least as many tasks as there are cores: a small file is read by one task, which costly work should not wait for. For scans (the number of tasks behind a shuffle is known only when it has run)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
