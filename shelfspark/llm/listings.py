@@ -22,7 +22,7 @@ from shelfspark.session import cut
 SIZE_ALIKE = 0.02
 #: Rare tokens of a listing that are paired to blocks, and how many times as large as its smallest block such a block may be.
 RARE_TOKENS, SPREAD = 4, 4
-#: Least share of the listings of a series word and number that one brand has; those of "new 2024" have all brands.
+#: Least share of the listings of a series word and number that one brand has, where a rarer one mostly stands beside it; those of "new 2024" have all brands.
 ONE_BRAND = 0.1
 #: Share of their blocks two listings must have in common if not both name a model number.
 WITHOUT_MODEL = 0.6
@@ -134,20 +134,35 @@ def _facts(catalog: DataFrame, brands: DataFrame) -> DataFrame:
     return cut(facts.select("doc_id", "locale", "models", tokens.alias("tokens"), *_FACTS))
 
 
+def _strange(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``locale``, ``model``, ``token`` of words and numbers that are no models, as "new 2024".
+
+    In most of their listings stands a rarer one that other listings name as well, and no brand has ``ONE_BRAND`` of
+    them. Brands alone don't tell: the more listings there are, the more brands use the same series word and number.
+    """
+    several = facts.where(F.size("models") > 1).select("doc_id", "locale", F.explode("models").alias("token"))
+    several = lookup(several, counts.where("model").drop("model"), ["locale", "token"], count="n")
+    beside = several.groupBy("doc_id", "locale").agg(F.collect_list(F.struct("token", "n")).alias("t"))
+    beside = beside.select("locale", F.explode(F.transform("t", lambda m: F.struct(m["token"].alias("token"), m["n"].alias("n"), F.exists("t", lambda o: (o["n"] > 1) & (o["n"] < m["n"])).alias("rarer")))).alias("m")).select("locale", "m.*")
+    common = cut(beside.where("rarer").groupBy("locale", "token", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > F.col("n") / 2).select("locale", "token"))
+    named = facts.where("brand_key IS NOT NULL").select("locale", "brand_key", F.explode("models").alias("token"))
+    branded = lookup(named, common, ["locale", "token"], "left_semi").groupBy("locale", "token", "brand_key").agg(F.count(F.lit(1)).alias("k"))
+    shares = branded.groupBy("locale", "token").agg((F.max("k") / F.sum("k")).alias("share"))
+    return cut(shares.where(F.col("share") < ONE_BRAND).select("locale", F.lit(True).alias("model"), "token"))
+
+
 def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of the listing graph and the node of each listing. Listings that say the same are one node, however many they are.
 
     A node's ``blocks`` are its model numbers, with the series word or with the brand, and pairs of its ``RARE_TOKENS``
-    rarest tokens that are not far larger than its smallest block; blocks of one listing are left out. ``main`` is its rarest model. A word and
-    number that listings of all brands have is no model.
+    rarest tokens that are not far larger than its smallest block; blocks of one listing are left out. ``main`` is its rarest model. What
+    ``_strange`` finds is no model.
     """
     named = F.concat(F.transform("models", lambda m: F.struct(F.lit(True).alias("model"), m.alias("token"))), F.transform("tokens", lambda t: F.struct(F.lit(False).alias("model"), t.alias("token"))))
-    each = facts.select("doc_id", "locale", "brand_key", F.explode(named).alias("t")).select("doc_id", "locale", "brand_key", "t.*")
-    counts = each.groupBy("locale", "model", "token").agg(F.count(F.lit(1)).alias("n")).where("model OR n > 1")
-    branded = each.where("model AND brand_key IS NOT NULL").groupBy("locale", "model", "token", "brand_key").agg(F.count(F.lit(1)).alias("k"))
-    strange = branded.groupBy("locale", "model", "token").agg((F.max("k") / F.sum("k")).alias("share")).where(F.col("share") < ONE_BRAND).select("locale", "model", "token")
-    counts = cut(counts.join(strange, ["locale", "model", "token"], "left_anti"))
-    seen = lookup(each.drop("brand_key"), counts, ["locale", "model", "token"], count="n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "model", "token"))).alias("t"))
+    each = facts.select("doc_id", "locale", F.explode(named).alias("t")).select("doc_id", "locale", "t.*")
+    counts = cut(each.groupBy("locale", "model", "token").agg(F.count(F.lit(1)).alias("n")).where("model OR n > 1"))
+    counts = cut(lookup(counts, _strange(facts, counts), ["locale", "model", "token"], "left_anti"))
+    seen = lookup(each, counts, ["locale", "model", "token"], count="n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "model", "token"))).alias("t"))
     models = F.transform(F.filter("t", lambda x: x["model"]), lambda x: x["token"])
     rare = F.array_sort(F.transform(F.slice(F.filter("t", lambda x: ~x["model"]), 1, RARE_TOKENS), lambda x: x["token"]))
     known = facts.drop("tokens", "models").join(seen.select("doc_id", models.alias("models"), rare.alias("rare")), "doc_id")

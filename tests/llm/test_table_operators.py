@@ -209,6 +209,24 @@ def test_product_groups(spark):
     assert listings.product_groups(df.limit(0), reference).count() == 0
 
 
+def test_models_of_many_brands(spark):
+    """A series word and number that many brands use, as they do in large tables, is still a model; "new 2024" is none."""
+    names = ["Tikalo", "Nozaha", "Zabure", "Quimo", "Velda", "Horpen", "Lasto", "Brimel", "Fandor", "Gelvos", "Jarniq", "Pomdel"]
+    rows, want = [], set()
+    for i, brand in enumerate(names):
+        for model in ("Marwen 300", "Dremilo 560"):
+            one, two = f"{i:02}{model[0]}1", f"{i:02}{model[0]}2"
+            rows.append(_listing(one, f"floating ledge {model} oak finish for the hall", brand=brand, color="Green", measures=["59.1 in"]))
+            rows.append(_listing(two, f"new 2024 {model} - kitchen board, best seller 150 cm", brand=brand, color="green"))
+            want.add((one, two))
+    df = spark.createDataFrame(rows, CATALOG)
+    found = listings.group_pairs(listings.product_groups(df, spark.createDataFrame(REFERENCE, REFERENCE_SCHEMA)))
+    assert {(r.doc_id_a, r.doc_id_b) for r in found.collect()} == want
+    facts = spark.createDataFrame([(f"z{i}", "us", names[i % 12], ["new 2024", f"marwen {100 + i // 16}"]) for i in range(48)], "doc_id string, locale string, brand_key string, models array<string>")
+    counts = facts.selectExpr("locale", "true AS model", "explode(models) AS token").groupBy("locale", "model", "token").count().withColumnRenamed("count", "n")
+    assert [r.token for r in listings._strange(facts, counts).collect()] == ["new 2024"]
+
+
 def test_large_components_and_blocks(spark):
     """Rounds over all tasks give what one task gives, and chunks of a block what the block gives."""
     rng = random.Random(9)
