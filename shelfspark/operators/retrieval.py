@@ -43,6 +43,14 @@ def bm25_index(docs: DataFrame, doc: str, group: str, terms: Column, k1: float =
     return whole.select("group", "term", "doc", "tf", "df", idf.alias("idf"), weight.alias("weight"))
 
 
+def term_idfs(docs: DataFrame, doc: str, group: str, terms: Column) -> DataFrame:
+    """``group``, ``term`` and ``idf`` as ``bm25_index`` has them; the postings are only counted, not joined."""
+    read = analysed(docs, doc, group, terms)
+    df = postings(read, "doc", "group", F.col("terms")).groupBy("group", "term").agg(F.count(F.lit(1)).alias("df"))
+    totals = cut(read.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
+    return lookup(df, totals, ["group"]).select("group", "term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def query_terms(queries: DataFrame, key: str, group: str, terms: Column) -> DataFrame:
     """``query``, ``group``, ``term``, ``qtf``."""
     each = queries.select(F.col(key).alias("query"), F.col(group).alias("group"), F.explode(terms).alias("term"))
@@ -140,9 +148,14 @@ def bm25_pairs(index: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def max_scores(index: DataFrame, asked: DataFrame, k1: float = K1) -> DataFrame:
-    """Per query what a document could score at most, and the number of its terms the index knows."""
-    known = index.select("group", "term", "idf").distinct()
-    return asked.join(known, ["group", "term"]).groupBy("query").agg(F.round(F.sum(F.col("idf") * (k1 + 1) * F.col("qtf")), 6).alias("max_score"), F.count(F.lit(1)).alias("n_known"))
+    """Per query what a document could score at most, and the number of its terms the index (as ``bm25_index`` or ``term_idfs``) knows.
+
+    Only the known terms may be broadcast, behind their count. Spark takes ``asked`` for as small as the file it came
+    from and would send it whole through the driver; the hint keeps it in shuffles.
+    """
+    known = cut(index.select("group", "term", "idf").distinct())
+    met = lookup(asked.hint("merge"), known, ["group", "term"])
+    return met.groupBy("query").agg(F.round(F.sum(F.col("idf") * (k1 + 1) * F.col("qtf")), 6).alias("max_score"), F.count(F.lit(1)).alias("n_known"))
 
 
 def dot(a: Column, b: Column) -> Column:

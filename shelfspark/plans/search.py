@@ -46,7 +46,8 @@ def bm25_two_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_query_stats(spark: SparkSession, sf: str) -> DataFrame:
     """What a title can score at most for each query, and how many of its terms the titles know."""
-    return R.max_scores(_index(spark, sf), _asked(spark, sf)).withColumnRenamed("query", "query_id")
+    idfs = R.term_idfs(table(spark, sf, "catalog").select("doc_id", "locale", "title"), "doc_id", "locale", T.terms(F.col("title")))
+    return R.max_scores(idfs, _asked(spark, sf)).withColumnRenamed("query", "query_id")
 
 
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from shelfspark.engine import Engine
 from shelfspark.functions import draws as D
 from shelfspark.functions import text as T
-from shelfspark.operators import graph, models, retrieval, sampling, spelling
+from shelfspark.operators import graph, models, retrieval, sampling, sizing, spelling
 from shelfspark.operators.matching import brand_mentions
+from shelfspark.plans import search
 
 
 def test_bm25_against_brute_force(spark):
@@ -43,6 +44,23 @@ def test_bm25_against_brute_force(spark):
     assert retrieval.bm25_topk(d, a.limit(0), 4).count() == retrieval.bm25_topk(d.limit(0), a, 4).count() == 0
 
 
+def test_queries_are_not_broadcast_for_their_statistics(spark, tmp_path, monkeypatch):
+    titles = [("a", "us", "red cup"), ("b", "us", "red red pan"), ("b", "us", "pan red red"), ("c", "us", None), ("d", "es", "taza"), ("e", None, "red")]
+    spark.createDataFrame(titles, "doc_id string, locale string, title string").write.parquet(f"{tmp_path}/catalog.parquet")
+    asked = spark.range(20_000).select(F.col("id").alias("query_id"), F.lit("us").alias("locale"), F.lit("red cup red taza").alias("query"))
+    asked.union(spark.createDataFrame([(-1, "es", "taza cup"), (-2, "jp", "red"), (-3, None, "red")], "query_id long, locale string, query string")).coalesce(1).write.parquet(f"{tmp_path}/queries.parquet")
+    idf = lambda n, df: math.log1p((n - df + 0.5) / (df + 0.5))
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(sizing, "small", lambda *_: False)
+        out = search.bm25_query_stats(spark, str(tmp_path))
+        got = {r.query_id: (r.max_score, r.n_known) for r in out.collect()}
+        assert len(got) == 20_001 and got[-1] == (pytest.approx(2.2 * idf(1, 1), abs=1e-6), 1)
+        assert all(got[i] == (pytest.approx(2.2 * (2 * idf(4, 2) + idf(4, 1)), abs=1e-6), 2) for i in (0, 19_999))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == small
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(5, None)]
